@@ -53,7 +53,7 @@ def merge_attributes(raw: DataFrame) -> DataFrame:
     def step(acc, r):
         over = lambda a, b: F.map_concat(F.map_filter(a, lambda k, _: ~F.map_contains_key(b, k)), b)
         win = (r["length"] < acc["length"]) | acc["fresh"]
-        return F.struct(F.when(win, r["length"]).otherwise(acc["length"]).alias("length"), F.when(win, over(acc["attrs"], r["attrs"])).otherwise(acc["attrs"]).alias("attrs"), F.lit(False).alias("fresh"))
+        return F.struct(F.when(win, r["length"]).otherwise(acc["length"]).alias("length"), F.when(win, over(acc["attrs"], F.map_from_entries(r["attrs"]))).otherwise(acc["attrs"]).alias("attrs"), F.lit(False).alias("fresh"))
 
     g = raw.groupBy(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).agg(rows.alias("rows"))
     return g.select("u", "v", F.aggregate("rows", start, step).alias("r")).select("u", "v", F.when(~F.col("r.length").isin(float("inf")), F.col("r.length")).alias("length"), "r.attrs")
