@@ -47,7 +47,7 @@ def collapse(raw: DataFrame) -> DataFrame:
 
 def merge_attributes(raw: DataFrame) -> DataFrame:
     """As ``collapse`` for rows with a map ``attrs``: each strictly shorter row is merged over what came before."""
-    rows = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("length", F.lit(float("inf"))).alias("length"), "attrs")))
+    rows = F.array_sort(F.collect_list(F.struct("seq", F.coalesce("length", F.lit(float("inf"))).alias("length"), F.map_entries("attrs").alias("attrs"))))
     start = F.struct(F.lit(float("inf")).alias("length"), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("attrs"), F.lit(True).alias("fresh"))
 
     def step(acc, r):
