@@ -59,10 +59,12 @@ def scan(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]]
     units = F.array_distinct(F.concat(F.split("text", "\n"), F.split("text", r"\n\s*\n"), F.array("text")))
     # a unit of fewer than two words, or of fewer words than any template allows, has no candidate
     u = keyed.select("key", F.posexplode(units).alias("unit", "u")).filter(F.length("u") >= 2)
-    u = _bigrams(u, "u").drop("u").withColumn("n", F.size("bg"))
-    u = u.filter(F.col("n").between(min(lo), max(hi)))
+    # explode() of one or no array is a filter that is not pushed below, where it would split the text again for each bigram
+    u = _bigrams(u, "u").select("key", "unit", "bg")
+    u = u.select("key", "unit", F.explode(F.when(F.size("bg").between(min(lo), max(hi)), F.array("bg"))).alias("bg"))
     known = sorted({x for _, b in sets for x in b})
-    u = u.withColumn("near", F.filter("bg", lambda x: x.isin(known))).filter(F.size("near") > 0)
+    u = u.select("key", "unit", F.size("bg").alias("n"), F.filter("bg", lambda x: x.isin(known)).alias("some"))
+    u = u.select("key", "unit", "n", F.explode(F.when(F.size("some") > 0, F.array("some"))).alias("near"))
 
     def against(i):
         name, b = sets[i]
