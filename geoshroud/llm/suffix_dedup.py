@@ -29,7 +29,7 @@ from .scratch import Scratch, small_batches
 
 #: Fragments sorted together, and the most of one anchor that are.
 BUCKET, MOST = 20_000, 60_000
-#: Rows (fragments, spans) that are broadcast at most; beyond that the texts are shuffled.
+#: Fragments whose places are broadcast at most; beyond that the texts are shuffled to them.
 MAX_BROADCAST = 1_500_000
 _BITS = 20
 _BLOCK = (1 << _BITS) - 4096
@@ -231,8 +231,6 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, n: int = 400, with_text: b
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
     cuts = repeats(spark, docs, n, scratch)
-    few = cuts.agg(F.sum(F.size("cut")).alias("n")).first()["n"] or 0
-    cuts = F.broadcast(cuts) if few <= MAX_BROADCAST else cuts
     rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).join(cuts, "key", "left").select("doc_id", "text", "cut")
 
     def apply(batches):
@@ -263,9 +261,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, n: int = 400) -> DataF
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
     cuts = repeats(spark, docs, n, scratch)
-    few = cuts.agg(F.sum(F.size("cut")).alias("n")).first()["n"] or 0
     cuts = cuts.select(F.col("key").alias("_key"), F.col("cut").alias("_cut"))
-    cuts = F.broadcast(cuts) if few <= MAX_BROADCAST else cuts
     rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(cuts, "_key", "left")
 
     @F.pandas_udf("string")
