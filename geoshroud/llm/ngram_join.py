@@ -166,11 +166,17 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         .withColumn("v", F.xxhash64("hi", "lo"))
     )
     classes = scratch.keep(classes, "classes")
+    slim = scratch.keep(rows.select("doc_id", "n", "hi", "lo"), "slim-rows")
+    scratch.drop(rows)
+    rows = slim
     tokens = classes.select("v", "n", F.xxhash64("prefix", "n").alias("g"), F.posexplode("prefix").alias("p", "tok"))
     shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     shared = scratch.keep(shared, "shared")
     scratch.reclaim()
     met = scratch.keep(tokens.join(shared, "tok"), "met")
+    slim = scratch.keep(classes.drop("prefix"), "slim-classes")
+    scratch.drop(classes, shared)  # prefixes are in met from here on
+    classes = slim
     groups = met.select("g", "v").distinct().groupBy("g").agg(F.min("v").alias("rep"), F.count("*").alias("members"))
     groups = scratch.keep(groups, "groups")
     labels = scratch.keep(met.select("v").distinct().withColumn("c", F.col("v")), "labels")
@@ -189,6 +195,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     pivots = reps.groupBy("tok").agg(F.min(F.struct("v", "n", "p")).alias("m")).select("tok", F.col("m.v").alias("v2"), F.col("m.n").alias("n2"), F.col("m.p").alias("p2"))
     outer = reps.join(pivots, "tok").filter(F.col("v") != F.col("v2")).filter(_may_link(pct)).select("v", "v2")
     links = scratch.keep(_verified(_pairs(inner.union(outer)), sets, pct), "links")
+    scratch.reclaim()
     labels = merge_labels(labels, links, scratch)
     for turn in range(STAR_ROUNDS + 1):
         here = met.drop("g").join(labels, "v")
