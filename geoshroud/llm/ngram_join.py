@@ -107,29 +107,55 @@ def _described(docs: DataFrame, k: int, pct: int, frequent: np.ndarray) -> DataF
     return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, hi long, lo long, prefix array<long>, marks array<long>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """v and whole set of the wanted (v, doc_id, hi) classes, from a second scan of the texts."""
-    few = wanted.count() <= MAX_BROADCAST_IDS
-    ids = wanted.select("v", "doc_id", "hi")
-    here = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
-
-    def build(batches):
-        for b, texts, v, hi in _texts(batches, "v", "hi"):
-            sets = [shingle_set(t, k) for t in texts]
-            keys = [None if not len(s) else int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0]) for s in sets]
-            yield pa.RecordBatch.from_arrays([v, pa.array(sets, pa.list_(pa.int64())), pa.array([x == y for x, y in zip(keys, hi.to_pylist())])], ["v", "s", "own"])
-
-    # rows that share a doc_id but not the set are other classes' rows
-    return scratch.keep(here.select("v", "hi", "text").mapInArrow(build, "v long, s array<long>, own boolean").filter("own").drop("own").dropDuplicates(["v"]), "sets")
+class _Sets:
+    """Whole sets of the classes that some candidate pair names, from further scans of the texts; each is built once."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, k: int, scratch: Scratch):
+        if not docs.filter("doc_id is null").isEmpty():  # rows without an id are found by the key of their set
+            docs, classes = (t.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62)))) for t in (docs, classes))
+        self.docs, self.ids, self.k, self.scratch, self.known = docs, classes.select("v", "doc_id", "hi"), k, scratch, None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """v and s of at least every class in ``pairs`` (a, b)."""
+        v = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).distinct()
+        if self.known is not None:
+            v = v.join(self.known.select("v"), "v", "left_anti")
+        wanted = self.scratch.keep(v.join(self.ids, "v"), "wanted")
+        n = wanted.count()
+        few = n <= MAX_BROADCAST_IDS
+        k, here = self.k, self.docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+
+        def build(batches):
+            for b, texts, v, hi in _texts(batches, "v", "hi"):
+                sets = [shingle_set(t, k) for t in texts]
+                keys = [None if not len(s) else int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0]) for s in sets]
+                yield pa.RecordBatch.from_arrays([v, pa.array(sets, pa.list_(pa.int64())), pa.array([x == y for x, y in zip(keys, hi.to_pylist())])], ["v", "s", "own"])
+
+        # rows that share a doc_id but not the set are other classes' rows
+        new = here.select("v", "hi", "text").mapInArrow(build, "v long, s array<long>, own boolean").filter("own").drop("own")
+        if self.known is None or n:
+            new = self.scratch.keep(new, "sets")
+            if new.count() > n:  # repeated rows each gave their set
+                new = self.scratch.keep(new.dropDuplicates(["v"]), "sets")
+            self.known = new if self.known is None else self.known.unionByName(new)
+        return self.known
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs that link."""
     a = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("same"))
     return both.filter(F.lit(100) * F.col("same") >= F.lit(pct) * (F.col("both") - F.col("same"))).select("a", "b")
 
 
+def _unrefused(pairs: DataFrame, marks: DataFrame, pct: int) -> DataFrame:
+    """The pairs that sizes and parity marks do not refuse: only they cost whole sets."""
+    a = marks.select(F.col("v").alias("a"), "n", "marks")
+    b = marks.select(F.col("v").alias("b"), F.col("n").alias("n2"), F.col("marks").alias("marks2"))
+    return pairs.join(a, "a").join(b, "b").filter(_marks_allow(pct)).select("a", "b")
+
+
 def _may_link(pct: int):
     """Size bound, and the bound on what is common after a first common shingle at positions p and q."""
     need = F.lit(pct) * (F.col("n") + F.col("n2"))
@@ -180,13 +206,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     groups = met.select("g", "v").distinct().groupBy("g").agg(F.min("v").alias("rep"), F.count("*").alias("members"))
     groups = scratch.keep(groups, "groups")
     labels = scratch.keep(met.select("v").distinct().withColumn("c", F.col("v")), "labels")
-    marks = scratch.keep(labels.select("v").join(classes.select("v", "marks"), "v"), "marks")
-    wanted = labels.join(classes.select("v", "doc_id", "hi"), "v")
-    if docs.filter("doc_id is null").isEmpty():
-        sets = _sets(docs, wanted, k, scratch)
-    else:  # rows without an id are found by the key of their set
-        keyed = docs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62))))
-        sets = _sets(keyed, wanted.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62)))), k, scratch)
+    marks = scratch.keep(classes.join(labels.select("v"), "v").select("v", "n", "marks"), "marks")
+    sets = _Sets(docs, classes, k, scratch)
     scratch.reclaim()
 
     # groups: members meet their representative, representatives meet the pivot of each shingle
@@ -194,13 +215,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     reps = met.join(groups.select("g", F.col("rep").alias("v")), ["g", "v"])
     pivots = reps.groupBy("tok").agg(F.min(F.struct("v", "n", "p")).alias("m")).select("tok", F.col("m.v").alias("v2"), F.col("m.n").alias("n2"), F.col("m.p").alias("p2"))
     outer = reps.join(pivots, "tok").filter(F.col("v") != F.col("v2")).filter(_may_link(pct)).select("v", "v2")
-    links = scratch.keep(_verified(_pairs(inner.union(outer)), sets, pct), "links")
+    pairs = scratch.keep(_unrefused(_pairs(inner.union(outer)), marks, pct), "pairs")
+    links = scratch.keep(_verified(pairs, sets.of(pairs), pct), "links")
     scratch.reclaim()
     labels = merge_labels(labels, links, scratch)
     for turn in range(STAR_ROUNDS + 1):
         here = met.drop("g").join(labels, "v")
         open_ = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
-        here = scratch.keep(here.join(open_, "tok").join(marks, "v"), f"open{turn}")
+        here = scratch.keep(here.join(open_, "tok").join(marks.select("v", "marks"), "v"), f"open{turn}")
         if here.isEmpty():
             break
         size = here.groupBy("tok", "c").agg(F.count("*").alias("k"))
@@ -211,8 +233,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         if not last:
             rest = rest.groupBy("tok").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("x"), "v", "c", "n", "p", "marks")).alias("m")).select("tok", "m.*")
         rest = rest.select("tok", F.col("v").alias("v2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("marks").alias("marks2"))
-        pairs = _pairs(here.join(rest, "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct)))
-        links = scratch.keep(_verified(pairs, sets, pct), f"links{turn}")
+        pairs = scratch.keep(_pairs(here.join(rest, "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct))), f"pairs{turn}")
+        scratch.reclaim()
+        links = scratch.keep(_verified(pairs, sets.of(pairs), pct), f"links{turn}")
         labels = merge_labels(labels, links, scratch)
         scratch.drop(here)
         if last:
