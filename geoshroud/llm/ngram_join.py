@@ -195,40 +195,45 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     slim = scratch.keep(rows.select("doc_id", "n", "hi", "lo"), "slim-rows")
     scratch.drop(rows)
     rows = slim
-    tokens = classes.select("v", "n", F.xxhash64("prefix", "n").alias("g"), F.posexplode("prefix").alias("p", "tok"))
+    tokens = classes.select("v", "n", F.posexplode("prefix").alias("p", "tok"))
     shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     shared = scratch.keep(shared, "shared")
     scratch.reclaim()
     met = scratch.keep(tokens.join(shared, "tok"), "met")
-    slim = scratch.keep(classes.drop("prefix"), "slim-classes")
+    slim = scratch.keep(classes.withColumn("g", F.xxhash64("prefix", "n")).drop("prefix"), "slim-classes")
     scratch.drop(classes, shared)  # prefixes are in met from here on
     classes = slim
-    groups = met.select("g", "v").distinct().groupBy("g").agg(F.min("v").alias("rep"), F.count("*").alias("members"))
-    groups = scratch.keep(groups, "groups")
+    reps = classes.groupBy("g").agg(F.min("v").alias("rep"), F.count("*").alias("members")).filter("members > 1").select("g", "rep")
+    members = scratch.keep(classes.select("g", "v").join(reps, "g").filter("v <> rep").select("v", "rep"), "members")
     labels = scratch.keep(met.select("v").distinct().withColumn("c", F.col("v")), "labels")
     marks = scratch.keep(classes.join(labels.select("v"), "v").select("v", "n", "marks"), "marks")
     sets = _Sets(docs, classes, k, scratch)
     scratch.reclaim()
 
     # groups: members meet their representative, representatives meet the pivot of each shingle
-    inner = met.join(groups.filter("members > 1"), "g").filter("v <> rep").select("v", F.col("rep").alias("v2"))
-    reps = met.join(groups.select("g", F.col("rep").alias("v")), ["g", "v"])
+    inner = members.select("v", F.col("rep").alias("v2"))
+    reps = met.join(members.select("v"), "v", "left_anti")
     pivots = reps.groupBy("tok").agg(F.min(F.struct("v", "n", "p")).alias("m")).select("tok", F.col("m.v").alias("v2"), F.col("m.n").alias("n2"), F.col("m.p").alias("p2"))
     outer = reps.join(pivots, "tok").filter(F.col("v") != F.col("v2")).filter(_may_link(pct)).select("v", "v2")
     pairs = scratch.keep(_unrefused(_pairs(inner.union(outer)), marks, pct), "pairs")
     links = scratch.keep(_verified(pairs, sets.of(pairs), pct), "links")
     scratch.reclaim()
     labels = merge_labels(labels, links, scratch)
-    for turn in range(STAR_ROUNDS + 1):
-        here = met.drop("g").join(labels, "v")
+    seen = met
+    for turn in range(STAR_ROUNDS + 1):  # a shingle within one component stays so: each round takes up what the last left open
+        here = seen.join(labels, "v")
         open_ = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
-        here = scratch.keep(here.join(open_, "tok").join(marks.select("v", "marks"), "v"), f"open{turn}")
+        here = scratch.keep(here.join(open_, "tok"), f"open{turn}")
+        scratch.drop(seen)
         if here.isEmpty():
             break
+        seen = here.drop("c")
+        seen._scratch_path = here._scratch_path
         size = here.groupBy("tok", "c").agg(F.count("*").alias("k"))
         main = scratch.keep(size.groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k")), f"main{turn}")
         work = main.agg(F.sum((F.col("k") - F.col("most")) * F.col("k").cast("double")).alias("pairs"), F.sum("k").alias("rows")).first()
         last = turn == STAR_ROUNDS or work["pairs"] <= LINEAR * work["rows"]
+        here = here.join(marks.select("v", "marks"), "v")
         rest = here.join(main.select("tok", "main"), "tok").filter(F.col("c") != F.col("main"))
         if not last:
             rest = rest.groupBy("tok").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("x"), "v", "c", "n", "p", "marks")).alias("m")).select("tok", "m.*")
@@ -237,7 +242,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         scratch.reclaim()
         links = scratch.keep(_verified(pairs, sets.of(pairs), pct), f"links{turn}")
         labels = merge_labels(labels, links, scratch)
-        scratch.drop(here)
+        scratch.drop(main)
         if last:
             break
 
