@@ -129,10 +129,11 @@ class _Sets:
             for b, texts, v, hi in _texts(batches, "v", "hi"):
                 sets = [shingle_set(t, k) for t in texts]
                 keys = [None if not len(s) else int(np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), np.int64)[0]) for s in sets]
-                yield pa.RecordBatch.from_arrays([v, pa.array(sets, pa.list_(pa.int64())), pa.array([x == y for x, y in zip(keys, hi.to_pylist())])], ["v", "s", "own"])
+                own = pa.array([x == y for x, y in zip(keys, hi.to_pylist())])
+                yield pa.RecordBatch.from_arrays([v, pa.array(sets, pa.list_(pa.int64())), pa.array([_wide_mark(s) for s in sets], pa.binary()), own], ["v", "s", "w", "own"])
 
         # rows that share a doc_id but not the set are other classes' rows
-        new = here.select("v", "hi", "text").mapInArrow(build, "v long, s array<long>, own boolean").filter("own").drop("own")
+        new = here.select("v", "hi", "text").mapInArrow(build, "v long, s array<long>, w binary, own boolean").filter("own").drop("own")
         if self.known is None or n:
             new = self.scratch.keep(new, "sets")
             if new.count() > n:  # repeated rows each gave their set
@@ -141,8 +142,34 @@ class _Sets:
         return self.known
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs that link."""
+def _wide_mark(s: np.ndarray) -> bytes:
+    """Parity mark with about one bit for each shingle, so that it stays telling for long texts."""
+    bits = max(MARK_BITS, 1 << int(len(s)).bit_length())
+    return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
+def _wide_marks_allow(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
+    """The pairs that wide marks do not refuse; of two lengths the longer mark is folded on the shorter."""
+    a = sets.select(F.col("v").alias("a"), F.size("s").alias("na"), F.col("w").alias("wa"))
+    b = sets.select(F.col("v").alias("b"), F.size("s").alias("nb"), F.col("w").alias("wb"))
+
+    def keep(batches):
+        for x in batches:
+            ok = []
+            for na, nb, wa, wb in zip(*(x.column(c).to_pylist() for c in ("na", "nb", "wa", "wb"))):
+                wa, wb = np.frombuffer(wa, np.uint8), np.frombuffer(wb, np.uint8)
+                short = min(len(wa), len(wb))
+                wa, wb = (np.bitwise_xor.reduce(w.reshape(-1, short)) for w in (wa, wb))
+                apart = int(np.bitwise_count(wa ^ wb).sum())
+                ok.append((100 + pct) * (na + nb - apart) >= 2 * pct * (na + nb))
+            yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return pairs.join(a, "a").join(b, "b").mapInArrow(keep, "a long, b long")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+    pairs = scratch.keep(_wide_marks_allow(pairs, sets, pct), "likely")
     a = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("same"))
@@ -216,7 +243,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     pivots = reps.groupBy("tok").agg(F.min(F.struct("v", "n", "p")).alias("m")).select("tok", F.col("m.v").alias("v2"), F.col("m.n").alias("n2"), F.col("m.p").alias("p2"))
     outer = reps.join(pivots, "tok").filter(F.col("v") != F.col("v2")).filter(_may_link(pct)).select("v", "v2")
     pairs = scratch.keep(_unrefused(_pairs(inner.union(outer)), marks, pct), "pairs")
-    links = scratch.keep(_verified(pairs, sets.of(pairs), pct), "links")
+    links = scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), "links")
     scratch.reclaim()
     labels = merge_labels(labels, links, scratch)
     seen = met
@@ -240,7 +267,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         rest = rest.select("tok", F.col("v").alias("v2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("marks").alias("marks2"))
         pairs = scratch.keep(_pairs(here.join(rest, "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct))), f"pairs{turn}")
         scratch.reclaim()
-        links = scratch.keep(_verified(pairs, sets.of(pairs), pct), f"links{turn}")
+        links = scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), f"links{turn}")
         labels = merge_labels(labels, links, scratch)
         scratch.drop(main)
         if last:
