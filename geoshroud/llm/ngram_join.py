@@ -33,7 +33,8 @@ MAX_BROADCAST_IDS = 500_000
 STAR_ROUNDS = 4
 #: Bits of the parity marks by which most pairs that cannot link are refused inside the join.
 MARK_BITS = 512
-#: The last round starts as soon as it makes at most so many pairs for each row of the open shingles.
+#: The last round starts as soon as it makes at most so many pairs for each row of the open shingles, or as soon as a
+#: star round did not halve the pairs left (then more of them would only cost time).
 LINEAR = 4
 
 
@@ -246,7 +247,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     links = scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), "links")
     scratch.reclaim()
     labels = merge_labels(labels, links, scratch)
-    seen = met
+    seen, before = met, float("inf")
     for turn in range(STAR_ROUNDS + 1):  # a shingle within one component stays so: each round takes up what the last left open
         here = seen.join(labels, "v")
         open_ = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
@@ -259,7 +260,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         size = here.groupBy("tok", "c").agg(F.count("*").alias("k"))
         main = scratch.keep(size.groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k")), f"main{turn}")
         work = main.agg(F.sum((F.col("k") - F.col("most")) * F.col("k").cast("double")).alias("pairs"), F.sum("k").alias("rows")).first()
-        last = turn == STAR_ROUNDS or work["pairs"] <= LINEAR * work["rows"]
+        last = turn == STAR_ROUNDS or work["pairs"] <= LINEAR * work["rows"] or 2 * work["pairs"] > before
+        before = work["pairs"]
         here = here.join(marks.select("v", "marks"), "v")
         rest = here.join(main.select("tok", "main"), "tok").filter(F.col("c") != F.col("main"))
         if not last:
