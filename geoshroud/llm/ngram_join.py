@@ -7,6 +7,7 @@ Steps (all tables below are Parquet in the shared folder, so lost executors cost
    two sets that link share a prefix shingle.  The order is a heuristic, any order gives the same links;
 3. classes of equal prefix and size form a group.  Group representatives meet on shared prefix shingles under the
    size and position bounds, members meet their representative; met pairs are verified on the whole sets;
+   Tables that grow with the corpus are merge-joined at every size, so plans on small inputs say what large ones cost;
 4. groups are expanded: shingles whose members lie in several components are taken up again.  A few star rounds
    (one pivot for a shingle) merge most of them; a last round verifies every pair left between different components
    with at least one side outside the shingle's largest component.  Pairs inside one component prove nothing new and
@@ -227,14 +228,14 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     shared = scratch.keep(shared, "shared")
     scratch.reclaim()
-    met = scratch.keep(tokens.join(shared, "tok"), "met")
+    met = scratch.keep(tokens.join(shared.hint("merge"), "tok"), "met")
     slim = scratch.keep(classes.withColumn("g", F.xxhash64("prefix", "n")).drop("prefix"), "slim-classes")
     scratch.drop(classes, shared)  # prefixes are in met from here on
     classes = slim
     reps = classes.groupBy("g").agg(F.min("v").alias("rep"), F.count("*").alias("members")).filter("members > 1").select("g", "rep")
     members = scratch.keep(classes.select("g", "v").join(reps, "g").filter("v <> rep").select("v", "rep"), "members")
     labels = scratch.keep(met.select("v").distinct().withColumn("c", F.col("v")), "labels")
-    marks = scratch.keep(classes.join(labels.select("v"), "v").select("v", "n", "marks"), "marks")
+    marks = scratch.keep(classes.join(labels.select("v").hint("merge"), "v").select("v", "n", "marks"), "marks")
     sets = _Sets(docs, classes, k, scratch)
     scratch.reclaim()
 
@@ -242,16 +243,16 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     inner = members.select("v", F.col("rep").alias("v2"))
     reps = met.join(members.select("v"), "v", "left_anti")
     pivots = reps.groupBy("tok").agg(F.min(F.struct("v", "n", "p")).alias("m")).select("tok", F.col("m.v").alias("v2"), F.col("m.n").alias("n2"), F.col("m.p").alias("p2"))
-    outer = reps.join(pivots, "tok").filter(F.col("v") != F.col("v2")).filter(_may_link(pct)).select("v", "v2")
+    outer = reps.join(pivots.hint("merge"), "tok").filter(F.col("v") != F.col("v2")).filter(_may_link(pct)).select("v", "v2")
     pairs = scratch.keep(_unrefused(_pairs(inner.union(outer)), marks, pct), "pairs")
     links = scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), "links")
     scratch.reclaim()
     labels = merge_labels(labels, links, scratch)
     seen, before = met, float("inf")
     for turn in range(STAR_ROUNDS + 1):  # a shingle within one component stays so: each round takes up what the last left open
-        here = seen.join(labels, "v")
+        here = seen.join(labels.hint("merge"), "v")
         open_ = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
-        here = scratch.keep(here.join(open_, "tok"), f"open{turn}")
+        here = scratch.keep(here.join(open_.hint("merge"), "tok"), f"open{turn}")
         scratch.drop(seen)
         if here.isEmpty():
             break
@@ -262,12 +263,12 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         work = main.agg(F.sum((F.col("k") - F.col("most")) * F.col("k").cast("double")).alias("pairs"), F.sum("k").alias("rows")).first()
         last = turn == STAR_ROUNDS or work["pairs"] <= LINEAR * work["rows"] or 2 * work["pairs"] > before
         before = work["pairs"]
-        here = here.join(marks.select("v", "marks"), "v")
-        rest = here.join(main.select("tok", "main"), "tok").filter(F.col("c") != F.col("main"))
+        here = here.join(marks.select("v", "marks").hint("merge"), "v")
+        rest = here.join(main.select("tok", "main").hint("merge"), "tok").filter(F.col("c") != F.col("main"))
         if not last:
             rest = rest.groupBy("tok").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("x"), "v", "c", "n", "p", "marks")).alias("m")).select("tok", "m.*")
         rest = rest.select("tok", F.col("v").alias("v2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("marks").alias("marks2"))
-        pairs = scratch.keep(_pairs(here.join(rest, "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct))), f"pairs{turn}")
+        pairs = scratch.keep(_pairs(here.join(rest.hint("merge"), "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct))), f"pairs{turn}")
         scratch.reclaim()
         links = scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), f"links{turn}")
         labels = merge_labels(labels, links, scratch)
