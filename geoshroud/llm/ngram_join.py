@@ -31,6 +31,8 @@ from .scratch import Scratch, small_batches
 MAX_FREQUENT = 1_000_000
 #: Ids of at most so many candidates are broadcast for the second scan; beyond that the scan is joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
+#: A task counts so many shingles at once (8 bytes each, and a sorted copy).
+COUNTED = 6_000_000
 STAR_ROUNDS = 4
 #: Bits of the parity marks by which most pairs that cannot link are refused inside the join.
 MARK_BITS = 512
@@ -62,7 +64,7 @@ def _frequent(docs: DataFrame, k: int, share: float) -> np.ndarray:
                 buf.append(s)
                 n += len(s)
                 d += 1
-            if n > 2_000_000:
+            if n > COUNTED:
                 yield flush()
                 buf, n, d = [], 0, 0
         if n:
@@ -204,7 +206,7 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).filter("a <> b").distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80, share: float = 5e-4) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80, share: float = 1e-4) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id`` for every row of ``docs`` (columns ``doc_id``, ``text``).
 
     Two rows link when 100 * |A and B| >= pct * |A or B| on their sets of k-word shingles.  component_id is the smallest
