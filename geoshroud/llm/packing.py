@@ -9,6 +9,9 @@ of ranks within a cell to sequences; ranks come from counts by (cell, salt), so
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 
 import numpy as np
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, small_batches
 
 WINDOW, END = 4096, 2
-#: Chunks of text whose ids a worker remembers at most; then it starts afresh.
+#: Chunks of text in one generation of a worker's memory.
 MEMORY = 300_000
 SALTS = 256
 
@@ -30,19 +33,51 @@ def cells(window: int) -> np.ndarray:
     return np.array([*range(1, min(64, window) + 1), *range(72, window + 1, 8)], np.int64)
 
 
+#: Chunks of printable ASCII and the letters from U+00C0 to U+00FF, without apostrophe (contractions) and ``<`` (special
+#: tokens), and the parts that a SPLIT tokenizer makes of them.
+_EASY = re.compile(rb"(?:[!-&(-;=-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+#: Byte-level alphabet: bytes that are no visible Latin-1 character stand as the characters from U+0100 on, in order.
+_HIDDEN = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+#: The split rule for which _PARTS holds.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 class Tokens(dict):
-    """White-space chunk (bytes) -> little-endian uint32 ids.  The tokenizer drops white space and never joins across it."""
+    """White-space chunk (bytes) -> little-endian uint32 ids.  The tokenizer drops white space and never joins across it.
+
+    Two generations of at most MEMORY chunks are remembered: frequent chunks move into the young one when they are met
+    again.  With a tokenizer that lower-cases and splits by SPLIT, easy chunks go to its merge model directly.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        spec = json.loads(self.tokenizer.to_str())
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        parts = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+        easy = kinds == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": SPLIT}
+        self.easy = _EASY.fullmatch if easy else lambda chunk: None
+
+    def encode(self, chunk: bytes) -> bytes:
+        if self.easy(chunk):
+            model = self.tokenizer.model
+            parts = _PARTS.findall(chunk.decode().lower())
+            if not chunk.isascii():
+                parts = [part.encode().decode("latin-1").translate(_HIDDEN) for part in parts]
+            ids = [t.id for part in parts for t in model.tokenize(part)]
+        else:
+            ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode("utf-8"), add_special_tokens=False).ids
-        out = np.asarray(ids, "<u4").tobytes()
+        out = self.old.get(chunk)
+        if out is None:
+            out = self.encode(chunk)
         if len(chunk) <= 64:
-            if len(self) > MEMORY:
+            if len(self) >= MEMORY:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = out
         return out
