@@ -5,7 +5,7 @@ Steps (all tables below are Parquet in the shared folder, so lost executors cost
 1. every text becomes its set of k-word shingles (64-bit hashes); equal sets collapse into one class;
 2. sets are ordered with locally frequent shingles last, then by hash; the first |x|-ceil(t|x|)+1 are the prefix:
    two sets that link share a prefix shingle.  The order is a heuristic, any order gives the same links;
-3. classes of equal prefix and size form a group.  Group representatives meet on shared prefix shingles under the
+3. shingles with one posting list count as one.  Classes of equal prefix and size form a group.  Group representatives meet on shared prefix shingles under the
    size and position bounds, members meet their representative; met pairs are verified on the whole sets;
    Tables that grow with the corpus are merge-joined at every size, so plans on small inputs say what large ones cost;
 4. groups are expanded: shingles whose members lie in several components are taken up again.  A few star rounds
@@ -202,6 +202,19 @@ def _marks_allow(pct: int):
     return F.lit(100 + pct) * (F.col("n") + F.col("n2") - apart) >= F.lit(2 * pct) * (F.col("n") + F.col("n2"))
 
 
+def _collapsed(met: DataFrame, scratch: Scratch) -> DataFrame:
+    """``met`` with one row for all shingles that the same classes have, at the least position in each class.
+
+    A passage gives many shingles with one posting list; they would make the same pairs again and again.  Lists are told
+    apart by size and xor of their class keys: should two differ and agree in that, they only make pairs to be refused.
+    """
+    lists = met.groupBy("tok").agg(F.xxhash64(F.count("*"), F.bit_xor("v")).alias("list"))
+    out = met.join(lists.hint("merge"), "tok").groupBy("list", "v").agg(F.first("n").alias("n"), F.min("p").alias("p"))
+    out = scratch.keep(out.select("v", "n", "p", F.col("list").alias("tok")), "met")
+    scratch.drop(met)
+    return out
+
+
 def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).filter("a <> b").distinct()
 
@@ -230,10 +243,11 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
     shared = scratch.keep(shared, "shared")
     scratch.reclaim()
-    met = scratch.keep(tokens.join(shared.hint("merge"), "tok"), "met")
+    met = scratch.keep(tokens.join(shared.hint("merge"), "tok"), "met-shingles")
     slim = scratch.keep(classes.withColumn("g", F.xxhash64("prefix", "n")).drop("prefix"), "slim-classes")
     scratch.drop(classes, shared)  # prefixes are in met from here on
     classes = slim
+    met = _collapsed(met, scratch)
     reps = classes.groupBy("g").agg(F.min("v").alias("rep"), F.count("*").alias("members")).filter("members > 1").select("g", "rep")
     members = scratch.keep(classes.select("g", "v").join(reps, "g").filter("v <> rep").select("v", "rep"), "members")
     labels = scratch.keep(met.select("v").distinct().withColumn("c", F.col("v")), "labels")
