@@ -33,6 +33,8 @@ MAX_FREQUENT = 1_000_000
 MAX_BROADCAST_IDS = 500_000
 #: A task counts so many shingles at once (8 bytes each, and a sorted copy).
 COUNTED = 6_000_000
+#: A frequent shingle is in so many different texts, counted where a task sees it so many times.
+FREQUENT, LOCALLY = 8, 3
 STAR_ROUNDS = 4
 #: Bits of the parity marks by which most pairs that cannot link are refused inside the join.
 MARK_BITS = 512
@@ -47,33 +49,38 @@ def _texts(batches, *columns):
         yield b, t, *[b.column(c) for c in columns]
 
 
-def _frequent(docs: DataFrame, k: int, share: float) -> np.ndarray:
-    """Shingles in at least ``share`` of the documents that some task sees often: they are ordered last."""
+def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """Shingles of at least FREQUENT different texts, as far as tasks see them LOCALLY times: they are ordered last.
+
+    The bounds do not grow with the corpus, or posting lists would, and pairs with their square.
+    """
 
     def count(batches):
-        buf, n, d = [], 0, 0
+        buf, n, known = [], 0, set()
 
         def flush():
             tok, c = np.unique(np.concatenate(buf), return_counts=True)
-            m = c >= max(4, share * d)
+            m = c >= LOCALLY
             return pa.RecordBatch.from_arrays([pa.array(tok[m]), pa.array(c[m].astype(np.int64))], ["tok", "c"])
 
         for _, texts in _texts(batches):
             for t in texts:
+                copy = hash(t)
+                if t is None or copy in known:
+                    continue
+                known.add(copy)
                 s = shingle_set(t, k)
                 buf.append(s)
                 n += len(s)
-                d += 1
             if n > COUNTED:
                 yield flush()
-                buf, n, d = [], 0, 0
+                buf, n, known = [], 0, set()
         if n:
             yield flush()
 
-    least = max(8.0, share * docs.count())
     rows = (
         docs.select("text").mapInArrow(count, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
-        .filter(F.col("c") >= least).orderBy(F.desc("c"), "tok").limit(MAX_FREQUENT).select("tok").toPandas()
+        .filter(F.col("c") >= FREQUENT).orderBy(F.desc("c"), "tok").limit(MAX_FREQUENT).select("tok").toPandas()
     )
     return np.sort(rows["tok"].to_numpy(np.int64))
 
@@ -219,7 +226,7 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).filter("a <> b").distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80, share: float = 1e-4) -> DataFrame:
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     """Rows ``doc_id, n_shingles, component_id`` for every row of ``docs`` (columns ``doc_id``, ``text``).
 
     Two rows link when 100 * |A and B| >= pct * |A or B| on their sets of k-word shingles.  component_id is the smallest
@@ -230,7 +237,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     small_batches(spark)
     scratch = Scratch(spark, "ngram")
     docs = docs.select("doc_id", "text")
-    rows = scratch.keep(_described(docs, k, pct, _frequent(docs, k, share)), "rows")
+    rows = scratch.keep(_described(docs, k, pct, _frequent(docs, k)), "rows")
     classes = (
         rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
         .withColumn("v", F.xxhash64("hi", "lo"))
