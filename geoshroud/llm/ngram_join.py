@@ -9,7 +9,7 @@ Steps (all tables below are Parquet in the shared folder, so lost executors cost
    size and position bounds, members meet their representative; met pairs are verified on the whole sets;
    Tables that grow with the corpus are merge-joined at every size, so plans on small inputs say what large ones cost;
 4. groups are expanded: shingles whose members lie in several components are taken up again.  A few star rounds
-   (one pivot for a shingle) merge most of them; a last round verifies every pair left between different components
+   (a few pivots for a shingle) merge most of them; a last round verifies every pair left between different components
    with at least one side outside the shingle's largest component.  Pairs inside one component prove nothing new and
    are never made, so a group of n near copies costs O(n), not O(n^2).
 """
@@ -36,6 +36,8 @@ COUNTED = 6_000_000
 #: A frequent shingle is in so many different texts, counted where a task sees it so many times.
 FREQUENT, LOCALLY = 8, 3
 STAR_ROUNDS = 4
+#: Pivots of a shingle in a star round at most.
+PIVOTS = 8
 #: Bits of the parity marks by which most pairs that cannot link are refused inside the join.
 MARK_BITS = 512
 #: The last round starts as soon as it makes at most so many pairs for each row of the open shingles, or as soon as a
@@ -289,7 +291,8 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         here = here.join(marks.select("v", "marks").hint("merge"), "v")
         rest = here.join(main.select("tok", "main").hint("merge"), "tok").filter(F.col("c") != F.col("main"))
         if not last:
-            rest = rest.groupBy("tok").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("x"), "v", "c", "n", "p", "marks")).alias("m")).select("tok", "m.*")
+            mixed = F.xxhash64("v", "tok", F.lit(turn))  # every shingle its own pivots, new ones in each round
+            rest = rest.groupBy("tok", F.pmod(mixed, F.lit(PIVOTS)).alias("slot")).agg(F.min(F.struct(mixed.alias("x"), "v", "c", "n", "p", "marks")).alias("m")).select("tok", "m.*")
         rest = rest.select("tok", F.col("v").alias("v2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("marks").alias("marks2"))
         pairs = scratch.keep(_pairs(here.join(rest.hint("merge"), "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct))), f"pairs{turn}")
         scratch.reclaim()
