@@ -143,6 +143,39 @@ def test_licenses(spark):
     assert licenses.license_of(spark, table(spark, [])).count() == 0
 
 
+def test_licenses_inside_other_text(spark):
+    names = collections.defaultdict(list)
+    for n, t in licenses.TEMPLATES:
+        names[n].append(t)
+    full, r = max(names["MIT"], key=len), random.Random(3)
+    wrapped = "\n".join("# " + " ".join(full.split()[i : i + 9]) for i in range(0, len(full.split()), 9))
+    rows = [
+        (0, "This software is released under the MIT License."),
+        (1, "Some prose. Released under the MIT License. More prose."),
+        (2, f"# A tool for many things\n# by someone\n{wrapped}\n# and here is the code of it\nimport os"),
+        (3, "We say it is released\nunder the MIT\nLicense and go on with this and that."),
+        (4, "First it was released under the MIT License. Licensed under CC BY 4.0. All of it."),
+        (5, "The license of the bird under the tree is the right of any person to use, copy and sell it."),
+        (6, "now released " + "x " * 900 + "under the mit license then"),
+        *((i, " ".join(r.choice("released under the mit license all rights reserved x".split()) for _ in range(90))) for i in range(10, 60)),
+    ]
+    got = {x.doc_id: x for x in licenses.license_of(spark, table(spark, rows)).collect()}
+    assert [(got[i].license, got[i].licenses, got[i].n_units) for i in range(6)] == [("MIT", ["MIT"], 1)] * 4 + [("MIT", ["CC-BY-4.0", "MIT"], 2), (None, [], 0)]
+    bigrams = lambda t: list(zip(w := re.findall(r"[^\W_]+", t.lower()), w[1:]))
+    for i, t in rows:
+        if i >= 6:  # every window of every length
+            b, most = bigrams(t), 0
+            for _, x in licenses.TEMPLATES:
+                x = set(bigrams(x))
+                for s in range(len(b)):
+                    a = set()
+                    for y in b[s:] if b[s] in x else ():
+                        a.add(y)
+                        most = max(most, 2 * len(a & x) / (len(a) + len(x)))
+            assert (got[i].dice or 0) == pytest.approx(most if most >= 0.8 else 0)
+    assert sum(got[i].license is not None for i in range(10, 60)) > 3 and got[6].dice == pytest.approx(6 / 7)
+
+
 @pytest.mark.parametrize(("k", "pct"), [(4, 85), (5, 80)])
 def test_ngram_join(docs, spark, k, pct):
     rows, df, none = docs
