@@ -23,8 +23,8 @@ TOKEN = rf"[{_LONE}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{_LONE}]]{{1,16}}"
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the array<int> column ``out`` of the anchors of column ``text``.
 
-    Null and empty texts have none; a text without tokens has one, of all its characters; a text of fewer than K tokens
-    has one, of all its tokens.
+    Null and empty texts have none; a text without tokens has one, of all its characters; a text of fewer than K tokens,
+    or (of K or K+1 tokens) without a closed syncmer, has one, of all its tokens.
     """
     t, s = f"_t_{out}", f"_s_{out}"
     plain = F.replace(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
@@ -39,7 +39,8 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     many = F.array_distinct(F.transform(ends, lambda i: F.hash(at(i, 0), at(i, 2), at(i, 3))))
     few = F.array(F.hash(F.col(t)))
     none = F.when(F.length(text) > 0, F.array(F.hash(F.col(text)))).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(out, F.when(n >= K, many).when(n > 0, few).otherwise(none)).drop(t, s)
+    df = df.withColumn(out, F.when(n >= K, many))
+    return df.withColumn(out, F.when(F.size(out) > 0, F.col(out)).when(n > 0, few).otherwise(none)).drop(t, s)
 
 
 def likeness(a: str, b: str) -> Column:
