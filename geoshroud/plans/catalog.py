@@ -137,6 +137,17 @@ def largest_component_edges(i):
     return graph.largest_component(i.nodes, i.sparse)[1]
 
 
+# the whole lattice: one large component with long paths, for which the recursive SQL would have a row per pair of nodes
+@query()
+def graph_components_whole(i):
+    return components(i.nodes, i.edges)
+
+
+@query()
+def largest_component_edges_whole(i):
+    return graph.largest_component(i.nodes, i.edges)[1]
+
+
 WL = DEG + ", bothw AS (SELECT u, v FROM edges UNION ALL SELECT v, u FROM edges), l0 AS (SELECT node_id, degree, CAST(degree AS VARCHAR) AS label FROM deg)" + "".join(
     f", l{r + 1} AS MATERIALIZED (SELECT a.node_id, any_value(a.degree) AS degree, substr(md5(any_value(a.label) || '|' || coalesce(string_agg(b.label, ',' ORDER BY b.label), '')), 1, 8) AS label FROM l{r} a LEFT JOIN bothw ON u = a.node_id LEFT JOIN l{r} b ON b.node_id = v GROUP BY a.node_id)" for r in range(5)
 )
