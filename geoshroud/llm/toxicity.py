@@ -18,10 +18,10 @@ from .scratch import small_batches
 
 GRADES = 4
 CELLS = 1 << 22
-#: Features in the model at most, the best by log-likelihood ratio.
-MAX_FEATURES = 4096
-#: A feature is in at least 3 toxic training texts and 1/MIN_SHARE of them, MIN_RATE times as often as in clean ones.
-MIN_SHARE, MIN_RATE = 60, 10
+#: A feature is in at least MIN_TEXTS toxic training texts, MIN_RATE times as often as in clean ones, and its likelihood
+#: ratio against one rate for both is at least MIN_G2 (chance 0.001).  None of these grows with the labels, so words of a
+#: small language or source count however many other labels there are.
+MIN_TEXTS, MIN_RATE, MIN_G2 = 3, 10, 10.83
 #: About so many labelled texts of each class are used to fit at most; which ones depends on the hash of doc_id alone.
 MAX_TEXTS = 20_000
 _GAP = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -115,10 +115,13 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(table[x]), pa.int64()), pa.array([v * x for v in table[x].values()], pa.int64()), pa.array([v * (1 - x) for v in table[x].values()], pa.int64())], ["cell", "bad", "good"])
 
     df = some.select("toxic", "text").mapInArrow(count, "cell long, bad long, good long").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    # texts repeat; a feature needs a few toxic texts, and a rate well above that in clean ones
+    # texts repeat; a feature needs a few toxic texts, and a rate well above that in clean ones; as the training texts are
+    # bounded by MAX_TEXTS, so are the features, and none is left out for others
     nb, ng = max(1, min(sizes.get(1, 0), MAX_TEXTS)), max(1, min(sizes.get(0, 0), MAX_TEXTS))
     rate = (F.col("bad") + 0.5) / nb / ((F.col("good") + 0.5) / ng)
-    best = df.filter(F.col("bad") >= max(3, nb // MIN_SHARE)).withColumn("gain", F.col("bad") * F.log(rate)).filter(rate > MIN_RATE).orderBy(F.desc("gain"), "cell").limit(MAX_FEATURES).select("cell", "good", "bad").toPandas()
+    seen = F.col("bad") + F.col("good")
+    g2 = 2 * (F.col("bad") * F.log(F.col("bad") * (nb + ng) / (seen * nb)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") * (nb + ng) / (seen * ng))).otherwise(0.0))
+    best = df.filter(F.col("bad") >= MIN_TEXTS).filter(rate > MIN_RATE).filter(g2 >= MIN_G2).select("cell", "good", "bad").toPandas()
     cells = np.sort(best["cell"].to_numpy(np.int64))
     pure = np.sort(best.loc[best["good"] * nb * 20 <= best["bad"] * ng, "cell"].to_numpy(np.int64))
     if not len(cells):
