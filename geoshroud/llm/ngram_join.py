@@ -11,7 +11,8 @@ Steps (all tables below are Parquet in the shared folder, so lost executors cost
 4. groups are expanded: shingles whose members lie in several components are taken up again.  A few star rounds
    (one pivot for a shingle) merge most of them; a last round verifies every pair left between different components
    with at least one side outside the shingle's largest component.  Pairs inside one component prove nothing new and
-   are never made, so a group of n near copies costs O(n), not O(n^2).
+   are never made, so a group of n near copies costs O(n), not O(n^2);
+5. only where links are asked for, all pairs inside each component are compared, in blocks, and counted.
 """
 
 from __future__ import annotations
@@ -41,6 +42,9 @@ MARK_BITS = 512
 #: The last round starts as soon as it makes at most so many pairs for each row of the open shingles, or as soon as a
 #: star round did not halve the pairs left (then more of them would only cost time).
 LINEAR = 4
+#: Links inside a component are counted for two blocks at a time, of about so many classes and at most about so many
+#: shingles each, and for so many different shingles at once.
+BLOCK, BLOCK_SHINGLES, COLUMNS = 256, 1_000_000, 4096
 
 
 def _texts(batches, *columns):
@@ -226,14 +230,8 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).filter("a <> b").distinct()
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
-    """Rows ``doc_id, n_shingles, component_id`` for every row of ``docs`` (columns ``doc_id``, ``text``).
-
-    Two rows link when 100 * |A and B| >= pct * |A or B| on their sets of k-word shingles.  component_id is the smallest
-    doc_id reachable.  Null, empty and blank texts have no shingles and link with nothing: component_id is their own doc_id.
-    Repeated rows are in one class; a null doc_id stays null and takes the smallest non-null doc_id of its component.
-    Columns other than doc_id and text are ignored.  Very long texts are hashed in pieces.  An empty table gives no row.
-    """
+def _joined(spark: SparkSession, docs: DataFrame, k: int, pct: int):
+    """Scratch space, rows, classes, labels of the classes with a shared shingle, and whole sets."""
     small_batches(spark)
     scratch = Scratch(spark, "ngram")
     docs = docs.select("doc_id", "text")
@@ -299,13 +297,96 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
         if last:
             break
 
+    return scratch, rows, classes, labels, sets
+
+
+def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
     named = classes.select("hi", "lo", "v", "doc_id").join(labels, "v", "left").withColumn("c", F.coalesce("c", "v"))
     least = named.groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    named = scratch.keep(named.join(least, "c").select("hi", "lo", "component_id"), "named")
+    return named.join(least, "c")
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
+    """Rows ``doc_id, n_shingles, component_id`` for every row of ``docs`` (columns ``doc_id``, ``text``).
+
+    Two rows link when 100 * |A and B| >= pct * |A or B| on their sets of k-word shingles.  component_id is the smallest
+    doc_id reachable.  Null, empty and blank texts have no shingles and link with nothing: component_id is their own doc_id.
+    Repeated rows are in one class; a null doc_id stays null and takes the smallest non-null doc_id of its component.
+    Columns other than doc_id and text are ignored.  Very long texts are hashed in pieces.  An empty table gives no row.
+    """
+    scratch, rows, classes, labels, _ = _joined(spark, docs, k, pct)
+    named = scratch.keep(_named(classes, labels).select("hi", "lo", "component_id"), "named")
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(named, ["hi", "lo"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _same(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of ``sets[a]`` with ``sets[b]``; shingles are taken COLUMNS at a time."""
+    tok, col, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    twice = n > 1  # in one set only: in no intersection
+    which, col = which[twice[col]], (np.cumsum(twice) - 1)[col[twice[col]]]
+    order = np.argsort(col, kind="stable")
+    which, col = which[order], col[order]
+    out = np.zeros((len(a), len(b)))
+    for lo in range(0, int(twice.sum()), COLUMNS):
+        i, j = np.searchsorted(col, [lo, lo + COLUMNS])
+        x = np.zeros((len(sets), COLUMNS), np.float32)
+        x[which[i:j], col[i:j] - lo] = 1
+        out += x[a] @ x[b].T
+    return out
+
+
+def _links_of(classes: DataFrame, labels: DataFrame, rows: DataFrame, sets: _Sets, pct: int, scratch: Scratch) -> DataFrame:
+    """v and n_links of every class: the other rows that a row of it links with.
+
+    Classes that link are in one component, so all pairs of each component are compared on their whole sets.  A component
+    is dealt at random into blocks of about BLOCK classes or BLOCK_SHINGLES shingles; a task compares two blocks and
+    returns counts, never pairs.
+    """
+    copies = rows.filter("n > 0").groupBy("hi", "lo").agg(F.count("*").alias("copies"))
+    known = scratch.keep(classes.select("v", "n", "hi", "lo").join(copies.hint("merge"), ["hi", "lo"]).select("v", "n", "copies"), "copies")
+    inside = known.join(labels.hint("merge"), "v")
+    size = inside.groupBy("c").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("m > 1")
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
+    inside = scratch.keep(inside.join(size.select("c", blocks.alias("blocks")).hint("merge"), "c").withColumn("i", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int")), "inside")
+    whole = sets.of(inside.select(F.col("v").alias("a"), F.col("v").alias("b"))).select("v", "s")
+    dealt = inside.join(whole.hint("merge"), "v").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("c", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "v", "copies", "s")
+
+    def count(t: pa.Table) -> pa.Table:
+        s = [np.asarray(x, np.int64) for x in t.column("s").to_pylist()]
+        i, copies, n = (np.array(x, np.int64) for x in (t.column("i").to_pylist(), t.column("copies").to_pylist(), [len(x) for x in s]))
+        x, y = t.column("x")[0].as_py(), t.column("y")[0].as_py()
+        a, b = np.flatnonzero(i == x), np.flatnonzero(i == y)
+        same = _same(s, a, b)
+        link = 100 * same >= pct * (n[a][:, None] + n[b][None, :] - same)
+        out = np.zeros(len(s), np.int64)
+        if x == y:
+            np.fill_diagonal(link, False)
+            out[a] = link @ copies[b]
+        else:
+            out[a], out[b] = link @ copies[b], copies[a] @ link
+        return pa.table({"v": t.column("v").cast(pa.int64()), "n_links": pa.array(out)})
+
+    found = dealt.groupBy("c", "x", "y").applyInArrow(count, "v long, n_links long").groupBy("v").agg(F.sum("n_links").alias("n_links"))
+    found = scratch.keep(found, "n-links")
+    return known.join(found.hint("merge"), "v", "left").select("v", (F.coalesce("n_links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+
+
+def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
+    """Rows of ``jaccard_components`` with ``n_links``: with how many other rows each links, exact copies included.
+
+    All links are counted, those inside a component too, which costs the square of the component.  Null, empty and blank
+    texts have 0.
+    """
+    scratch, rows, classes, labels, sets = _joined(spark, docs, k, pct)
+    links = _links_of(classes, labels, rows, sets, pct, scratch)
+    named = scratch.keep(_named(classes, labels).join(links.hint("merge"), "v").select("hi", "lo", "component_id", "n_links"), "named")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(named, ["hi", "lo"], "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id; all columns as they are.
 

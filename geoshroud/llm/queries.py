@@ -45,6 +45,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(spark, _read(spark, sf_dir, "documents"), k=4, pct=85)
 
 
+def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import jaccard_links
+
+    return jaccard_links(spark, _read(spark, sf_dir, "documents"), k=4, pct=85)
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup_spans
 
@@ -73,5 +79,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_document_fingerprints, op2_decontamination, op3_url_filter, op4_packing, op5_license_scan, op6_ngram_jaccard_join, op7_suffix_dedup, op8_language_id, op9_chat_format, op10_toxicity,
+        op6_ngram_jaccard_links,
     )
 }
