@@ -124,17 +124,20 @@ def lines_to_graph(i):
     return graph.lines_to_graph(i.lines)[1]
 
 
-COMP = "both_ AS (SELECT u, v FROM sparse UNION ALL SELECT v, u FROM sparse), reach AS (SELECT node_id, node_id AS c FROM nodes UNION SELECT both_.v, reach.c FROM reach JOIN both_ ON both_.u = reach.node_id WHERE reach.c < both_.v), comp AS (SELECT node_id, min(c) AS component FROM reach GROUP BY node_id)"
+COMP = (
+    "both_ AS (SELECT u, v FROM trade UNION ALL SELECT v, u FROM trade), reach AS (SELECT node_id, node_id AS c FROM traders UNION SELECT both_.v, reach.c FROM reach JOIN both_ ON both_.u = reach.node_id WHERE reach.c < both_.v)"
+    ", comp AS (SELECT node_id, min(c) AS component FROM reach GROUP BY node_id)"
+)
 
 
-@query(with_inputs(COMP + " SELECT node_id, component FROM comp", "sparse", recursive=True))
+@query(with_inputs(COMP + " SELECT node_id, component FROM comp", "trade", recursive=True))
 def graph_components(i):
-    return components(i.nodes, i.sparse)
+    return components(i.traders, i.trade)
 
 
-@query(with_inputs(COMP + ", top AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT u, v FROM sparse JOIN comp ON u = node_id WHERE component IN (SELECT component FROM top)", "sparse", recursive=True))
+@query(with_inputs(COMP + ", top AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1) SELECT u, v FROM trade JOIN comp ON u = node_id WHERE component IN (SELECT component FROM top)", "trade", recursive=True))
 def largest_component_edges(i):
-    return graph.largest_component(i.nodes, i.sparse)[1]
+    return graph.largest_component(i.traders, i.trade)[1]
 
 
 # the whole lattice: one large component with long paths, for which the recursive SQL would have a row per pair of nodes
@@ -336,16 +339,11 @@ def haversine_lengths(i):
 PAIRS = f"pairs AS (SELECT a.station_id AS a, b.station_id AS b, {LEN} AS length FROM stations a JOIN stations b ON a.station_id < b.station_id)"
 
 
-@query(with_inputs(PAIRS + " SELECT a, b, length FROM pairs", "stations"))
-def station_pairs(i):
-    return network.station_pairs(i.stations)
-
-
 #: An edge is in the tree exactly if no path of strictly smaller edges joins its ends.
 @query(with_inputs(PAIRS + ", rk AS (SELECT a, b, length, row_number() OVER (ORDER BY length, a, b) AS r FROM pairs), bi AS (SELECT a, b, r FROM rk UNION ALL SELECT b, a, r FROM rk), reach AS (SELECT r AS edge, a AS n FROM rk UNION SELECT reach.edge, bi.b FROM reach JOIN bi ON bi.a = reach.n AND bi.r < reach.edge) SELECT a, b, length FROM rk WHERE NOT EXISTS (SELECT 1 FROM reach WHERE reach.edge = rk.r AND reach.n = rk.b)", "stations", recursive=True))
 def mst_edges(i):
     s = i.stations
-    return network.spanning_tree(s.select(F.col("station_id").alias("node_id")), keep(network.station_pairs(s), "pairs"))
+    return network.spanning_tree(s.select(F.col("station_id").alias("node_id")), network.connecting_pairs(s))
 
 
 CURVES = "SELECT node_id AS edge_id, x AS ax, y AS ay, x + CAST(0.5 AS DOUBLE) AS cx, y + CAST(0.25 AS DOUBLE) AS cy, x + CAST(1 AS DOUBLE) AS bx, y AS \"by\" FROM nodes"

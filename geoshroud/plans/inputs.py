@@ -20,8 +20,9 @@ POINTS = f"""SELECT c_custkey AS point_id, CAST((c_custkey * 7907) % 40960 AS DO
 LINES = f"""SELECT o_orderkey AS line_id, CAST((o_orderkey * 5) % 200 AS DOUBLE) / CAST(8 AS DOUBLE) AS x1, CAST((o_orderkey * 3) % 160 AS DOUBLE) / CAST(8 AS DOUBLE) AS y1,
  CAST((o_orderkey * 5) % 200 + (o_orderkey * 11) % 9 AS DOUBLE) / CAST(8 AS DOUBLE) AS x2, CAST((o_orderkey * 3) % 160 + (o_orderkey * 17) % 7 AS DOUBLE) / CAST(8 AS DOUBLE) AS y2 FROM {{orders}}""".replace("{{", "{").replace("}}", "}")
 RAW = """SELECT l_partkey AS u, 1000000 + l_suppkey AS v, l_quantity AS length, l_orderkey * 10 + l_linenumber AS seq, l_returnflag AS flag FROM {lineitem}"""
-#: Only a sixth of the lattice's edges: many components.
-SPARSE = "SELECT u, v FROM {edges} WHERE (u * 31 + v * 17) % 6 = 0"
+#: Customers and their orders: one component a customer, some without any order.
+TRADERS = "SELECT c_custkey AS node_id FROM {customer} UNION ALL SELECT 1000000000 + o_orderkey FROM {orders}"
+TRADE = "SELECT o_custkey AS u, 1000000000 + o_orderkey AS v FROM {orders}"
 PEAKS = """SELECT CAST((s_suppkey * 23) % 64 AS DOUBLE) AS x, CAST((s_suppkey * 37) % 64 AS DOUBLE) AS y, s_acctbal AS ele FROM {supplier}"""
 STATIONS = f"""SELECT s_suppkey AS station_id, CAST((s_suppkey * 1237) % 4096 AS DOUBLE) / {K} AS x, CAST((s_suppkey * 2741) % 4096 AS DOUBLE) / {K} AS y FROM {{supplier}}"""
 RINGS_SPARK = "SELECT vec_id AS poly_id, CAST(k AS BIGINT) AS pos, (1 + 0.5D * CAST(e AS DOUBLE)) * cos(2 * pi() * k / 64) AS x, (1 + 0.5D * CAST(e AS DOUBLE)) * sin(2 * pi() * k / 64) AS y FROM {embeddings} LATERAL VIEW posexplode(embedding) t AS k, e"
@@ -54,8 +55,12 @@ class Inputs:
         return self.sql(MOVED, nodes=self.nodes)
 
     @property
-    def sparse(self) -> DataFrame:
-        return self.sql(SPARSE, edges=self.edges)
+    def traders(self) -> DataFrame:
+        return self.sql(TRADERS, customer=self.table("customer"), orders=self.table("orders"))
+
+    @property
+    def trade(self) -> DataFrame:
+        return self.sql(TRADE, orders=self.table("orders"))
 
     @property
     def points(self) -> DataFrame:
@@ -84,11 +89,11 @@ class Inputs:
 
 #: The same inputs as DuckDB common table expressions.
 CTES = {
-    "nodes": NODES.format(part="part"), "edges": EDGES.format(nodes="nodes"), "moved": MOVED.format(nodes="nodes"), "sparse": SPARSE.format(edges="edges"),
+    "nodes": NODES.format(part="part"), "edges": EDGES.format(nodes="nodes"), "moved": MOVED.format(nodes="nodes"), "traders": TRADERS.format(customer="customer", orders="orders"), "trade": TRADE.format(orders="orders"),
     "points": POINTS.format(customer="customer"), "lines": LINES.format(orders="orders"), "raw": RAW.format(lineitem="lineitem"), "peaks": PEAKS.format(supplier="supplier"),
     "stations": STATIONS.format(supplier="supplier"), "rings": RINGS_DUCK,
 }
-NEEDS = {"edges": ["nodes"], "moved": ["nodes"], "sparse": ["edges"]}
+NEEDS = {"edges": ["nodes"], "moved": ["nodes"], "trade": ["traders"]}
 
 
 def with_inputs(sql: str, *names: str, recursive: bool = False) -> str:
