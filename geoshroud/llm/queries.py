@@ -18,7 +18,7 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import contamination
 
-    return contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return contamination(spark, _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("spans")
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op6_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import dedup_spans
 
-    return dedup_spans(spark, _read(spark, sf_dir, "documents"))
+    return dedup_spans(spark, _read(spark, sf_dir, "documents"), with_text=True)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,14 +12,25 @@ _KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; where that is unset (local tests), one of our own."""
+    """The folder named in ``spark.checkpoint.dir``; where that is unset, one of our own, in local mode only."""
     set_ = spark.conf.get(_KEY, "") or ""
     if not set_:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError(f"set {_KEY} to a folder that the driver and all executors share")
         set_ = "file://" + tempfile.mkdtemp(prefix="geoshroud-")
         spark.conf.set(_KEY, set_)
     return set_.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name in taken:
+        name += "_"
+    return name
+
+
 class Scratch:
     """Named tables below one fresh folder of the shared directory."""
 

@@ -9,8 +9,10 @@ the order of the suffixes of the last round into the new one, and the common pre
 (the multi-string Burrows-Wheeler construction with its common-prefix array).  A window repeats exactly if its suffix
 shares n bytes with a neighbour in that order.
 
-The rounds' files are the shuffle files and Parquet tables of Spark; one task holds one bucket of anchors.  Anchors with
-very many different fragments are not sorted in one task: their windows are counted by 128-bit hash instead.
+The symbols that a round reads, in the order of the last round's suffixes, are that round's column of the transform.  One
+task holds one bucket of anchors, so its columns are arrays in memory; what passes between tasks are Parquet tables and
+shuffle files.  An anchor with more than MOST different fragments would be too much for a task: its fragments are taken
+through the same steps again with anchors half as far from the length of a window, down to whole windows.
 """
 
 from __future__ import annotations
@@ -20,17 +22,15 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .hashing import U64, _powers, mix, prefix_sums, span_hashes
 from . import hashing
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, fresh, small_batches
 
-#: Fragments sorted together, and the most of one anchor that are.
+#: Fragments sorted together, and the most of one anchor that are (beyond, longer anchors part them).
 BUCKET, MOST = 20_000, 60_000
-#: Fragments whose places are broadcast at most; beyond that the texts are shuffled to them.
-MAX_BROADCAST = 1_500_000
 _BITS = 20
 _BLOCK = (1 << _BITS) - 4096
 
@@ -125,27 +125,13 @@ def _spans(found: np.ndarray, left: int, n: int):
     return r, s - left, e - 1 + n - left
 
 
-def _by_windows(frags: DataFrame, n: int, k: int) -> DataFrame:
-    """Spans of the fragments of crowded anchors, by counting equal windows at equal places."""
+def _key(*columns: str) -> Column:
+    """128 bits that name a row of text."""
+    return F.struct(F.xxhash64(*columns).alias("hi"), F.xxhash64(F.lit(7), *reversed(columns)).alias("lo"))
 
-    def windows(batches):
-        for b in batches:
-            ah, fk, x, h1, h2 = [], [], [], [], []
-            for a, f, o, t in zip(*(b.column(c).to_pylist() for c in ("ah", "fk", "o", "frag"))):
-                for s in range(len(t) - n + 1):
-                    d = np.frombuffer(hashlib.blake2b(t[s : s + n], digest_size=16).digest(), np.int64)
-                    ah.append(a), fk.append(f), x.append(s - o), h1.append(int(d[0])), h2.append(int(d[1]))
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in (ah, fk, x, h1, h2)], ["ah", "fk", "x", "h1", "h2"])
-
-    w = frags.mapInArrow(windows, "ah long, fk long, x long, h1 long, h2 long")
-    often = w.groupBy("ah", "x", "h1", "h2").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
-    return w.join(often, ["ah", "x", "h1", "h2"]).select("ah", "fk", F.col("x").alias("lo"), (F.col("x") + n).alias("hi"))
 
-
-def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
-    """``key, cut array<struct<lo,hi>>``: the byte spans of repeated n-byte strings of every text that has any."""
-    k = max(1, n // 4)
-    keyed = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text")
+def _repeats(spark: SparkSession, keyed: DataFrame, n: int, k: int, scratch: Scratch) -> DataFrame:
+    """``key, cut array<struct<lo,hi>>``: the byte spans of repeated n-byte strings of every text (``key, text``) that has any."""
 
     def find(batches):
         for b in batches:
@@ -153,7 +139,8 @@ def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> D
                 if t is None or len(t) < n:
                     continue
                 p, s, e, g, h = anchors(t, n, k)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(p), key)), pa.array(p), pa.array(s), pa.array(e), pa.array(g), pa.array(h)], ["key", "a", "s", "e", "ah", "fk"])
+                key = pa.StructArray.from_arrays([pa.array(np.full(len(p), key[c])) for c in ("hi", "lo")], ["hi", "lo"])
+                yield pa.RecordBatch.from_arrays([key, pa.array(p), pa.array(s), pa.array(e), pa.array(g), pa.array(h)], ["key", "a", "s", "e", "ah", "fk"])
 
     def find_packed(batches):
         held, rows = [], 0
@@ -166,7 +153,7 @@ def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> D
         if held:
             yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
-    marks = scratch.keep(keyed.mapInArrow(find_packed, "key long, a long, s long, e long, ah long, fk long"), "anchors")
+    marks = scratch.keep(keyed.mapInArrow(find_packed, "key struct<hi:long,lo:long>, a long, s long, e long, ah long, fk long"), "anchors")
     multi = scratch.keep(marks.groupBy("ah").agg(F.count("*").alias("c")).filter("c > 1").select("ah"), "multi")
     again = scratch.keep(marks.join(multi, "ah"), "again")
     scratch.drop(marks, multi)
@@ -176,7 +163,6 @@ def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> D
     odd = scratch.keep(kinds.join(crowd, "ah").select("ah", "fk", "nf", "c", "one.*"), "odd")
     n_odd = odd.count()
     place = odd.groupBy("key").agg(F.collect_list(F.struct("ah", "fk", "nf", "c", "s", "e", "a")).alias("want"))
-    place = F.broadcast(place) if n_odd <= MAX_BROADCAST else place
 
     def cut(batches):
         for b in batches:
@@ -189,7 +175,7 @@ def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> D
                     out["frag"].append(t[w["s"] : w["e"]])
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "frag" else pa.int64()) for c, v in out.items()], list(out))
 
-    frags = keyed.join(place, "key").select("text", "want").mapInArrow(cut, "ah long, fk long, nf long, c long, o long, frag binary").dropDuplicates(["ah", "fk"])
+    frags = keyed.join(place.hint("merge"), "key").select("text", "want").mapInArrow(cut, "ah long, fk long, nf long, c long, o long, frag binary").dropDuplicates(["ah", "fk"])
     frags = scratch.keep(frags, "fragments")
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_odd // BUCKET))
 
@@ -199,16 +185,26 @@ def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> D
         r, lo, hi = _spans(found, left, n)
         return pd.DataFrame({"ah": pdf["ah"].to_numpy()[r], "fk": pdf["fk"].to_numpy()[r], "lo": lo, "hi": hi})
 
-    sorted_ = frags.filter(F.col("nf") <= MOST).withColumn("bucket", F.pmod(F.xxhash64("ah"), F.lit(buckets))).groupBy("bucket").applyInPandas(sort, "ah long, fk long, lo long, hi long")
-    crowded = _by_windows(frags.filter(F.col("nf") > MOST), n, k)
+    spans = frags.filter(F.col("nf") <= MOST).withColumn("bucket", F.pmod(F.xxhash64("ah"), F.lit(buckets))).groupBy("bucket").applyInPandas(sort, "ah long, fk long, lo long, hi long")
+    crowded = frags.filter(F.col("nf") > MOST)
+    if not crowded.isEmpty():  # longer anchors tell these fragments apart
+        longer = n if n - k < n // 8 + 2 else k + (n - k) // 2
+        inner = _repeats(spark, crowded.select(F.struct(F.col("ah").alias("hi"), F.col("fk").alias("lo")).alias("key"), F.col("frag").alias("text")), n, longer, scratch)
+        inner = inner.select(F.col("key.hi").alias("ah"), F.col("key.lo").alias("fk"), F.explode("cut").alias("x")).join(crowded.select("ah", "fk", "o").hint("merge"), ["ah", "fk"])
+        spans = spans.union(inner.select("ah", "fk", (F.col("x.lo") - F.col("o")).alias("lo"), (F.col("x.hi") - F.col("o")).alias("hi")))
     whole = kinds.filter("c > 1").select("ah", "fk", (F.col("one.s") - F.col("one.a")).alias("lo"), (F.col("one.e") - F.col("one.a")).alias("hi"))
-    spans = scratch.keep(sorted_.union(crowded).union(whole), "spans")
+    spans = scratch.keep(spans.union(whole), "spans")
     cover = again.join(spans, ["ah", "fk"]).select("key", (F.col("a") + F.col("lo")).alias("lo"), (F.col("a") + F.col("hi")).alias("hi"))
     out = scratch.keep(cover.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("cut")), "cut")
     scratch.drop(again, kinds, odd, frags, spans)
     return out
 
 
+def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """``key, cut``: the repeated spans of every text that has any; ``key`` is ``_key("doc_id", "text")``."""
+    return _repeats(spark, docs.select(_key("doc_id", "text").alias("key"), "text"), n, max(1, n // 4), scratch)
+
+
 def merged(cut: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of the union of the spans."""
     out: list[list[int]] = []
@@ -224,14 +220,14 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, n: int = 400, with_text: b
     """Every row of ``docs`` (``doc_id``, ``text``) with what is left of its bytes.
 
     A byte goes if some n-byte string that covers it starts at another place too, in any row's text, its own included.
-    Columns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, ``kept``: the remaining text (the bytes
+    Columns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, ``text``: the remaining text (the bytes
     of a character cut in two are left out there; null stays null).  Null texts count as empty; texts of fewer than n
     bytes lose nothing; repeated rows are repeats of each other; other columns are ignored; an empty table gives no row.
     """
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
     cuts = repeats(spark, docs, n, scratch)
-    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key")).join(cuts, "key", "left").select("doc_id", "text", "cut")
+    rows = docs.select("doc_id", "text", _key("doc_id", "text").alias("key")).join(cuts, "key", "left").select("doc_id", "text", "cut")
 
     def apply(batches):
         for b in batches:
@@ -248,21 +244,21 @@ def dedup_spans(spark: SparkSession, docs: DataFrame, n: int = 400, with_text: b
                 kept.append(None if t is None else rest.decode("utf-8", "ignore"))
             cols = [b.column("doc_id").cast(pa.int64()), *(pa.array(v, pa.int64()) for v in (nb, nr, ns)), pa.array(sha, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string())] if with_text else cols, [*names, "kept"] if with_text else names)
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string())] if with_text else cols, [*names, "text"] if with_text else names)
 
-    return rows.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_text)
+    return rows.mapInArrow(apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", text string" * with_text)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, n: int = 400) -> DataFrame:
     """``docs`` with its repeated strings cut out of ``text`` and ``n_chars`` (if there) set to the new length.
 
-    Only texts that lose bytes change; all rows and columns stay.
+    Only texts that lose bytes change; all rows and columns stay, whatever their names.
     """
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
     cuts = repeats(spark, docs, n, scratch)
-    cuts = cuts.select(F.col("key").alias("_key"), F.col("cut").alias("_cut"))
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "text")).join(cuts, "_key", "left")
+    key, cut = fresh(docs, "key"), fresh(docs, "cut")
+    rows = docs.withColumn(key, _key("doc_id", "text")).join(cuts.select(F.col("key").alias(key), F.col("cut").alias(cut)), key, "left")
 
     @F.pandas_udf("string")
     def rest(text: pd.Series, cut: pd.Series) -> pd.Series:
@@ -277,7 +273,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, n: int = 400) -> DataF
             out.append(t)
         return pd.Series(out, dtype=object)
 
-    out = rows.withColumn("text", rest("text", "_cut"))
+    out = rows.withColumn("text", rest("text", cut))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_cut").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col(cut).isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
