@@ -1,11 +1,11 @@
 """Document fingerprints from closed syncmers, in DataFrame expressions only.
 
-A text is lower-cased and cut into tokens at white space; a text whose tokens would average more than WIDE characters (a
-script without spaces, or one long run) is cut into single characters of such scripts and runs of at most 16 letters or
-digits instead.  A k-mer is K tokens in a row, an s-mer S of them; the k-mer is a closed syncmer, and an anchor, if the
-least of its s-mer hashes is that of its first or last s-mer.  Whether it is one depends on its own tokens alone, so
-anchors of a shared passage agree wherever it stands.  The fingerprint lists the distinct anchors' 32-bit hashes in text
-order; likeness is the Jaccard index of two lists.
+A text is lower-cased and cut into tokens, the same way whatever else it holds: single characters of scripts without spaces,
+and runs of other letters, marks and digits, in pieces of at most PIECE from the run's start; all else separates.  A k-mer is
+K tokens in a row, an s-mer S of them; the k-mer is a closed syncmer, and an anchor, if the least of its s-mer hashes is that
+of its first or last s-mer.  Whether it is one depends on its own tokens alone, so anchors of a shared passage agree wherever
+it stands.  The fingerprint lists the distinct anchors' 32-bit hashes in text order; likeness matches two lists by anchor and
+by place in that order.
 """
 
 from __future__ import annotations
@@ -15,23 +15,19 @@ from pyspark.sql import functions as F
 
 #: Tokens in a k-mer and in an s-mer: each k-mer holds the s-mers at 0, 1, 2 and 3.
 K, S = 5, 2
-WIDE = 24
+PIECE = 16
 _LONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
-TOKEN = rf"[{_LONE}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{_LONE}]]{{1,16}}"
+TOKEN = rf"[{_LONE}]|[\p{{L}}\p{{N}}\p{{M}}&&[^{_LONE}]]{{1,{PIECE}}}"
 
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """``df`` with the array<int> column ``out`` of the anchors of column ``text``.
 
-    Null and empty texts have none; a text without tokens has one, of all its characters; a text of fewer than K tokens,
+    Null and empty texts have none; a text without tokens (only spaces, signs) has one, of all its characters; a text of fewer than K tokens,
     or (of K or K+1 tokens) without a closed syncmer, has one, of all its tokens.
     """
     t, s = f"_t_{out}", f"_s_{out}"
-    plain = F.replace(F.replace(F.lower(text), F.lit("\n"), F.lit(" ")), F.lit("\t"), F.lit(" "))
-    words = F.split(plain, " ")
-    df = df.withColumn(t, words)
-    wide = F.length(text) > WIDE * F.size(t)
-    df = df.withColumn(t, F.when(wide, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))).otherwise(F.col(t)))
+    df = df.withColumn(t, F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0)))
     n = F.size(t)
     df = df.withColumn(s, F.when(n >= K, F.transform(F.sequence(F.lit(0), n - S), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1)))))
     at = lambda i, j: F.get(s, i + j)
@@ -44,10 +40,18 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def likeness(a: str, b: str) -> Column:
-    """Jaccard index of two anchor lists; two empty lists are alike (1), one empty list is unlike any other (0)."""
-    same = F.size(F.array_intersect(a, b))
-    union = F.size(a) + F.size(b) - same
-    return F.when(union == 0, F.lit(1.0)).otherwise(same / union)
+    """Common anchors that follow each other in both lists, as a share of all anchors of the two.
+
+    Of n common anchors in the order of ``a``, each that does not come right after the one before it in the order of ``b``
+    too is a break; likeness is (n - breaks) / union, so the Jaccard index where the order agrees.  Two empty lists are alike
+    (1), one empty list is unlike any other (0).
+    """
+    pairs = lambda x: F.zip_with(x, F.slice(x, F.lit(2), F.greatest(F.size(x) - 1, F.lit(0))), lambda p, q: F.when(q.isNotNull(), F.shiftleft(p.cast("long"), 32).bitwiseOR(q.cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))))
+    here, there = F.array_intersect(a, b), F.array_intersect(b, a)
+    n = F.size(here)
+    follow = F.size(F.array_compact(F.array_intersect(pairs(here), pairs(there))))
+    union = F.size(a) + F.size(b) - n
+    return F.when(union == 0, F.lit(1.0)).when(n == 0, F.lit(0.0)).otherwise((follow + 1) / union)
 
 
 def as_text(a: str) -> Column:
