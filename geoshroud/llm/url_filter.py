@@ -1,10 +1,10 @@
 """URL filter: path rules on hosts, and naive Bayes over segmented names for the rest.
 
 Host labels are names run together ("thedailynews").  Unigram counts come from all page titles and from letters in url
-paths; every label is split by the unigram Viterbi path over its substrings that are known words (others pay by length).
-Labels are deduplicated first, and only the counts of their substrings are joined, so no vocabulary is held anywhere.
-Multinomial naive Bayes is fitted on all urls that a rule judges (hashed tokens, so its table has a fixed size) and
-judges the others.
+paths, words of any length; every run of letters in a host is split by the unigram Viterbi path over its substrings that are
+known words (others pay by length), runs of digits are tokens as they are.  Labels are deduplicated first, and only the counts
+of their substrings are joined, so no vocabulary is held anywhere.  Multinomial naive Bayes is fitted on all urls that a rule
+judges, on the tokens of whole hosts and whole paths (hashed, so its table has a fixed size), and judges the others.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from .scratch import Scratch
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # The rules (host, path, verdict).
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-LONGEST = 20
 #: Cells of the naive Bayes table (two classes each): 2 MB of doubles, whatever the input.
 CELLS = 1 << 17
 
@@ -47,17 +46,25 @@ def rule_of(host: str, path: str, rules=None) -> tuple[Column, Column]:
 
 def viterbi(label: str, counts: dict[str, int], total: int) -> list[str]:
     """The likeliest split into words; an unknown word of n letters has probability 10/(total * 10**n).  Ties: the longer
-    last word."""
-    n = len(label)
+    last word.
+
+    Known words are tried by their lengths; of unknown last words only the best start matters, which is carried along, so a
+    label costs its length times the number of different lengths.
+    """
+    n, lt, ten = len(label), math.log(max(total, 1)), math.log(10)
     best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
-    lt = math.log(max(total, 1))
+    sizes = sorted({len(w) for w in counts}, reverse=True)
+    start, at = 0.0, 0  # the best of best[s] + s log 10, and its s
     for e in range(1, n + 1):
-        for s in range(max(0, e - LONGEST), e):
-            w = label[s:e]
-            c = counts.get(w)
-            p = best[s] + (math.log(c) - lt if c else math.log(10) - lt - (e - s) * math.log(10))
-            if p > best[e] + 1e-12:
-                best[e], back[e] = p, s
+        best[e], back[e] = start - e * ten + ten - lt, at
+        for k in sizes:
+            c = counts.get(label[e - k : e]) if k <= e else None
+            if c:
+                p = best[e - k] + math.log(c) - lt
+                if p > best[e] + 1e-9 or p > best[e] - 1e-9 and e - k < back[e]:
+                    best[e], back[e] = p, e - k
+        if best[e] + e * ten > start + 1e-9:
+            start, at = best[e] + e * ten, e
     out, e = [], n
     while e:
         out.append(label[back[e] : e])
@@ -69,16 +76,17 @@ def _unigrams(pages: DataFrame) -> DataFrame:
     title = F.expr("substring(html, instr(html, '<title>') + 7, greatest(0, instr(html, '</title>') - instr(html, '<title>') - 7))")
     text = F.concat_ws(" ", F.when(F.instr("html", "<title>") > 0, title), F.col("path")) if "html" in pages.columns else F.col("path")
     words = F.explode(F.split(F.lower(text), r"[^\p{L}]+")).alias("w")
-    return pages.select(words).filter(F.length("w").between(1, LONGEST)).groupBy("w").agg(F.count("*").alias("c"))
+    return pages.select(words).filter(F.length("w") > 0).groupBy("w").agg(F.count("*").alias("c"))
 
 
 def segments(spark: SparkSession, labels: DataFrame, unigrams: DataFrame) -> DataFrame:
     """``label, words`` for the distinct labels; label parts of letters are split, the rest stays."""
     total = unigrams.agg(F.sum("c").alias("n")).first()["n"] or 1
+    sizes = sorted(r["k"] for r in unigrams.select(F.length("w").alias("k")).distinct().collect())  # different lengths of words
     n = F.length("label")
-    spots = F.explode(F.sequence(F.lit(1), n)).alias("i")
-    sub = labels.select("label", spots).select("label", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), n - F.col("i") + 1))).alias("k"), "i").select("label", F.expr("substring(label, i, k)").alias("w"))
-    known = sub.distinct().join(unigrams, "w").groupBy("label").agg(F.collect_list(F.struct("w", "c")).alias("known"))  # at most LONGEST a letter
+    sub = labels.select("label", F.explode(F.filter(F.array(*[F.lit(k) for k in sizes]).cast("array<int>"), lambda k: k <= n)).alias("k"))
+    sub = sub.select("label", "k", F.explode(F.sequence(F.lit(1), n - F.col("k") + 1)).alias("i")).select("label", F.expr("substring(label, i, k)").alias("w"))
+    known = sub.distinct().join(unigrams, "w").groupBy("label").agg(F.collect_list(F.struct("w", "c")).alias("known"))  # at most a label's substrings
 
     @F.pandas_udf("array<string>")
     def split(label: pd.Series, known: pd.Series) -> pd.Series:
@@ -98,15 +106,17 @@ def judge(spark: SparkSession, pages: DataFrame, rules=None) -> DataFrame:
     base = pages.select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), *(["html"] if "html" in pages.columns else []))
     name, verdict = rule_of("host", "path", rules)
     slim = scratch.keep(base.select("page_id", F.coalesce("host", F.lit("")).alias("host"), F.coalesce("path", F.lit("")).alias("path")).withColumn("rule", name).withColumn("ruled", verdict), "urls")
-    parts = slim.select("host").distinct().select("host", F.explode(F.filter(F.split("host", r"[^\p{L}]+"), lambda x: x != "")).alias("label"))
+    parts = slim.select("host").distinct().select("host", F.explode(F.filter(F.split("host", r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("run"))
+    parts = parts.select("host", F.explode(F.regexp_extract_all("run", F.lit(r"\p{L}+|\p{N}+"), F.lit(0))).alias("label"))
     parts = scratch.keep(parts.distinct(), "labels")
-    words = scratch.keep(segments(spark, parts.select("label").distinct(), _unigrams(base)), "segments")
-    hosts = parts.join(words, "label").select("host", F.explode("words").alias("w")).groupBy("host").agg(F.array_sort(F.collect_list("w")).alias("words"))
+    words = scratch.keep(segments(spark, parts.filter(F.col("label").rlike(r"^\p{L}")).select("label").distinct(), _unigrams(base)), "segments")
+    digits = parts.filter(~F.col("label").rlike(r"^\p{L}")).select("host", F.col("label").alias("w"))
+    hosts = parts.join(words, "label").select("host", F.explode("words").alias("w")).union(digits).groupBy("host").agg(F.array_sort(F.collect_list("w")).alias("words"))
     hosts = scratch.keep(hosts, "hosts")
-    kinds = slim.groupBy("host", F.regexp_replace("path", "[0-9]+", "0").alias("shape"), "ruled").agg(F.count("*").alias("k"))
+    kinds = slim.groupBy("host", "path", "ruled").agg(F.count("*").alias("k"))
     kinds = scratch.keep(kinds.join(hosts, "host", "left"), "kinds")
     cell = lambda t: F.pmod(F.xxhash64(t), F.lit(CELLS)).cast("int")
-    inpath = F.transform(F.filter(F.split(F.lower("shape"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.concat(F.lit("/"), x))
+    inpath = F.transform(F.filter(F.split(F.lower("path"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), lambda x: F.concat(F.lit("/"), x))
     inhost = F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda x: F.concat(F.lit("."), x))
     kinds = kinds.withColumn("cells", F.transform(F.concat(inhost, inpath), cell))
     ruled = kinds.filter("ruled is not null")
@@ -124,9 +134,8 @@ def judge(spark: SparkSession, pages: DataFrame, rules=None) -> DataFrame:
         w = shared.value
         return pd.Series([bias + float(w[np.asarray(c, np.int64)].sum()) for c in cells])
 
-    open_ = kinds.filter("ruled is null").select("host", "shape", F.round(odds("cells"), 6).alias("score"))
+    open_ = kinds.filter("ruled is null").select("host", "path", F.round(odds("cells"), 6).alias("score"))
     open_ = scratch.keep(open_, "scores")
-    rows = slim.withColumn("shape", F.when(F.col("rule").isNull(), F.regexp_replace("path", "[0-9]+", "0")))
-    out = rows.join(open_, ["host", "shape"], "left")
+    out = slim.join(open_, ["host", "path"], "left")
     method = F.when(F.col("score") > 0, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", method).alias("verdict"), "score")
