@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -91,11 +92,19 @@ def test_decontamination(docs, spark, monkeypatch, block):
     rows, df, none = docs
     items = [(0, None), (1, ""), (2, "TWO words"), (3, rows[20][1]), (4, rows[8][1][:300]), (4, rows[8][1][:300]), (10, rows[30][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = {r[0]: tuple(r)[1:] for r in decontam.contamination(spark, df, bench).collect()}
+    found = decontam.contamination(spark, df, bench).collect()
+    got = {r[0]: tuple(r)[1:6] for r in found}
     want = contamination(rows, items, 13)
     assert got == want and any(x[4] for x in want.values())
-    kept = sorted(r.doc_id for r in decontam.without_contaminated(spark, df, bench).collect())
-    assert kept == sorted(i for i, x in want.items() if not x[4])
+    for r in found:  # offsets are those of the original text
+        b = (rows[r.doc_id][1] or "").encode()
+        assert sum(len(decontam.words_of(b[s.start : s.end])) for s in r.spans) == r.n_hit
+        for s in r.spans:
+            assert any(" ".join(x.decode() for x in decontam.words_of(b[s.start : s.end])[:2]) in " ".join(y.decode() for y in decontam.words_of((t or "").encode())) for _, t in items)
+            assert (s.start == 0 or not decontam.words_of(b[s.start - 1 : s.start])) and not decontam.words_of(b[s.end : s.end + 1])
+    named = df.withColumnsRenamed({"key": "_row", "v": "_k"})
+    left = decontam.without_contaminated(spark, named, bench)
+    assert left.columns == named.columns and sorted(r.doc_id for r in left.collect()) == sorted(i for i, x in want.items() if not x[4])
     assert decontam.contamination(spark, none, bench).count() == 0 and not any(r.n_hit for r in decontam.contamination(spark, df, bench.limit(0)).collect())
 
 
@@ -115,6 +124,59 @@ def test_url_filter(spark):
     assert url_filter.viterbi("thedailynews", {"the": 50, "daily": 5, "news": 9, "then": 3}, 1000) == ["the", "daily", "news"]
 
 
+def test_viterbi_by_brute_force():
+    r = random.Random(6)
+    for _ in range(300):
+        label = "".join(r.choice("ab") for _ in range(r.randint(0, 9)))
+        counts = {"".join(r.choice("ab") for _ in range(r.randint(1, 5))): r.randint(1, 40) for _ in range(r.randint(0, 6))}
+        total = sum(counts.values()) + r.randint(0, 60) or 1
+
+        def worth(words):
+            return sum((math.log(counts[w]) if w in counts else math.log(10) - len(w) * math.log(10)) - math.log(total) for w in words)
+
+        n = max(len(label) - 1, 0)
+        cuts = [[0, *(i + 1 for i in range(n) if m >> i & 1), len(label)] for m in range(1 << n)]
+        most = max(worth([label[a:z] for a, z in zip(c, c[1:]) if a < z]) for c in cuts)
+        got = url_filter.viterbi(label, counts, total)
+        assert "".join(got) == label and worth(got) == pytest.approx(most)
+    long = "q" * 5000 + "news" + "z" * 3000
+    assert url_filter.viterbi(long, {"news": 900}, 1000) == ["q" * 5000, "news", "z" * 3000]
+
+
+def test_url_verdicts_by_brute_force(spark):
+    """Naive Bayes over whole hosts and paths: digits, long words and hyphens count; hashed cells do not collide here."""
+    r = random.Random(12)
+    good, bad = ["garden", "recipes", "9to5"], ["casino", "x" * 40, "win7"]
+    rows = []
+    for i in range(160):
+        block = i % 2
+        words = [r.choice(bad if block else good) for _ in range(2)] + [r.choice(["shop", "page"])]
+        rows.append((i, f"http://{'-'.join(words)}.{['com', 'net'][block] if i < 120 else 'io'}/{'en' if block else 'de'}/{i % 5}/{words[0]}", " "))
+    rules = [("net", "/", "block"), ("com", "/", "allow")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {x.page_id: x for x in url_filter.judge(spark, pages, rules).collect()}
+    counts = collections.Counter(w for _, u, _ in rows for w in re.findall(r"[^\W\d_]+", re.sub(r"^.*?://[^/]*", "", u)))
+    total = sum(counts.values())
+
+    def tokens(u):
+        host, path = re.match(r"^.*?://([^/]*)(.*)", u).groups()
+        out = []
+        for run in set(re.findall(r"[^\W\d_]+|\d+", host)):
+            out += ["." + w for w in ([run] if run.isdigit() else url_filter.viterbi(run, counts, total))]
+        return out + ["/" + w for w in re.findall(r"[^\W_]+", path)]
+
+    table, prior = collections.defaultdict(lambda: [1, 1]), [1, 1]
+    size = [url_filter.CELLS] * 2
+    for i, u, _ in rows[:120]:
+        prior[i % 2] += 1
+        for t in tokens(u):
+            table[t][i % 2] += 1
+            size[i % 2] += 1
+    for i, u, _ in rows[120:]:
+        want = math.log(prior[1] / prior[0]) + sum(math.log(table[t][1] / size[1]) - math.log(table[t][0] / size[0]) for t in tokens(u))
+        assert got[i].score == pytest.approx(want, abs=1e-5) and got[i].verdict == ("block" if want > 0 else "allow") == ["allow", "block"][i % 2]
+
+
 def test_packing(docs, spark):
     from tokenizers import Tokenizer
 
@@ -178,7 +240,29 @@ def test_licenses_inside_other_text(spark):
 
 @pytest.mark.parametrize(("k", "pct"), [(4, 85), (5, 80)])
 def test_ngram_join(docs, spark, k, pct):
-    rows, df, none = docs
+    components_match(spark, *docs, k, pct)
+
+
+@pytest.mark.parametrize("core", [0.5, 0.1])
+def test_ngram_join_by_differences(spark, monkeypatch, core):
+    """Every open shingle goes through the rounds by pivots: groups of near copies with some edits just too many."""
+    for name, value in {"STAR_ROUNDS": 0, "CROWDED": 0, "CORE": core}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdef") for _ in range(4)) for _ in range(300)]
+    out = [None, "", "one", "one"]
+    for _ in range(3):
+        base = [r.choice(words) for _ in range(90)]
+        for _ in range(30):
+            w = list(base)
+            for _ in range(r.randint(0, 4)):
+                w[r.randrange(0, 90, 6)] = r.choice(words[:20])
+            out.append(" ".join(w))
+    rows = list(enumerate(out))
+    components_match(spark, rows, table(spark, rows), table(spark, []), 4, 85)
+
+
+def components_match(spark, rows, df, none, k, pct):
     sets = {}
     for i, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
@@ -205,11 +289,14 @@ def test_ngram_join(docs, spark, k, pct):
 
 @pytest.mark.parametrize("most", [60_000, 2])
 def test_suffix_dedup(docs, spark, monkeypatch, most):
-    monkeypatch.setattr(suffix_dedup, "MOST", most)
+    monkeypatch.setattr(suffix_dedup, "MOST", most)  # 2: crowded anchors, down to whole windows
     n = 60
     rows, df, none = docs
+    if most == 2:
+        rows = rows[:40] + rows[-30:]
+        df = df.filter(df.doc_id.isin([i for i, _ in rows]))
     seen = collections.Counter(b[i : i + n] for _, t in rows if t for b in [t.encode()] for i in range(len(b) - n + 1))
-    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedup_spans(spark, df, n).collect()}
+    got = {r[0]: tuple(r)[1:] for r in suffix_dedup.dedup_spans(spark, df, n, with_text=True).collect()}
     removed = 0
     for i, t in rows:
         b = (t or "").encode()
@@ -218,12 +305,15 @@ def test_suffix_dedup(docs, spark, monkeypatch, most):
             if seen[b[j : j + n]] > 1:
                 m[j + 1 : j + n + 1] = True
         rest = bytes(x for x, y in zip(b, m[1:-1]) if not y)
-        assert got[i] == (len(b), int(m.sum()), int((np.diff(m.astype(int)) == 1).sum()), hashlib.sha256(rest).hexdigest())
+        assert got[i] == (len(b), int(m.sum()), int((np.diff(m.astype(int)) == 1).sum()), hashlib.sha256(rest).hexdigest(), None if t is None else rest.decode("utf-8", "ignore"))
         removed += m.sum()
     assert removed and suffix_dedup.dedup_spans(spark, none, n).count() == 0
     if most > 2:
-        kept = {r.doc_id: r for r in suffix_dedup.without_repeats(spark, df, n).collect()}
-        assert all(hashlib.sha256((kept[i].text or "").encode()).hexdigest() == got[i][3] or "é" in (t or "") or not (t or "").isascii() for i, t in rows)
+        named = df.withColumnsRenamed({"key": "_key", "v": "_cut"})
+        kept = suffix_dedup.without_repeats(spark, named, n)
+        assert kept.columns == named.columns and suffix_dedup.without_repeats(spark, none, n).count() == 0
+        for r in kept.collect():
+            assert (r.text, r._key, r._cut) == (got[r.doc_id][4], "k", 1) and r.n_chars == len(r.text or "")
 
 
 def test_language_id(spark):
