@@ -15,6 +15,8 @@ def keep(df: DataFrame, name: str = "round") -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", "") or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="geoshroud-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

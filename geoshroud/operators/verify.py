@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def round_trip(a: DataFrame, b: DataFrame, atol: float = 1e-10, rtol: float = 1e-5) -> DataFrame:
-    """One row: do the coordinates of all nodes agree; NaN agrees with nothing."""
-    j = a.select("node_id", "x", "y").join(b.select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2")), "node_id")
+    """One row: do the coordinates of all nodes agree; NaN, and a node that one side lacks, agree with nothing."""
+    j = a.select("node_id", "x", "y").join(b.select("node_id", F.col("x").alias("x2"), F.col("y").alias("y2")), "node_id", "full_outer")
     near = lambda p, q: F.coalesce((F.abs(F.col(p) - F.col(q)) <= F.lit(atol) + F.lit(rtol) * F.abs(F.col(q))) & ~F.isnan(p) & ~F.isnan(q), F.lit(False))
     return j.agg(F.count("*").alias("n_nodes"), F.coalesce(F.bool_and(near("x", "x2") & near("y", "y2")), F.lit(True)).alias("same"))
 

@@ -249,10 +249,11 @@ def snap_lines(i):
 NEXT = "nx AS (SELECT a.poly_id, a.pos, a.x, a.y, b.x AS x2, b.y AS y2 FROM rings a JOIN rings b ON b.poly_id = a.poly_id AND b.pos = (a.pos + 1) % 64)"
 
 
-@query(with_inputs(NEXT + " SELECT poly_id, count(*) AS n_vertices, round(abs(sum(x * y2 - x2 * y)) * 0.5, 6) AS area, round(sum((x + x2) * (x * y2 - x2 * y)) / (sum(x * y2 - x2 * y) * 3), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (sum(x * y2 - x2 * y) * 3), 6) AS cy FROM nx GROUP BY poly_id", "rings"))
+@query(with_inputs(
+    NEXT + " SELECT poly_id, count(*) AS n_vertices, round(round(abs(sum(x * y2 - x2 * y)) * 0.5 * 111000 * 111000, 1) / 1000000, 3) AS area_km2"
+    ", round(sum((x + x2) * (x * y2 - x2 * y)) / (sum(x * y2 - x2 * y) * 3), 6) AS cx, round(sum((y + y2) * (x * y2 - x2 * y)) / (sum(x * y2 - x2 * y) * 3), 6) AS cy FROM nx GROUP BY poly_id", "rings"))
 def polygon_store(i):
-    a = spectral.ring_areas(i.rings).select("poly_id", F.round("area", 6).alias("area"))
-    return overlay.polygon_store(i.rings).select("poly_id", "n_vertices", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy")).join(a, "poly_id").select("poly_id", "n_vertices", "area", "cx", "cy")
+    return overlay.polygon_store(i.rings).select("poly_id", "n_vertices", F.round(F.col("area_m2") / 1_000_000, 3).alias("area_km2"), F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"))
 
 
 DFT = "sp AS (SELECT poly_id, k, sum(x * cos(-2 * pi() * ((k * pos) % 64) / 64) - y * sin(-2 * pi() * ((k * pos) % 64) / 64)) AS re, sum(x * sin(-2 * pi() * ((k * pos) % 64) / 64) + y * cos(-2 * pi() * ((k * pos) % 64) / 64)) AS im FROM rings, range(64) t(k) GROUP BY poly_id, k)"
@@ -273,10 +274,14 @@ def perturb_boundary(i):
     return p.select("poly_id", "pos", (F.round("x", 6) + 0.0).alias("x"), (F.round("y", 6) + 0.0).alias("y"))
 
 
-@query(with_inputs(NEXT + " SELECT poly_id, round(abs(sum(x * y2 - x2 * y)) * 0.5, 5) AS area FROM nx GROUP BY poly_id", "rings"))
+@query(with_inputs(
+    PERT + ", nxi AS (SELECT a.poly_id, a.x, a.y, b.x AS x2, b.y AS y2 FROM inv a JOIN inv b ON b.poly_id = a.poly_id AND b.pos = (a.pos + 1) % 64)"
+    ", ai AS (SELECT poly_id, abs(sum(x * y2 - x2 * y)) * 0.5 AS area, avg(x) AS cx, avg(y) AS cy FROM nxi GROUP BY poly_id), "
+    + NEXT + ", ar AS (SELECT poly_id, abs(sum(x * y2 - x2 * y)) * 0.5 AS area FROM nx GROUP BY poly_id)"
+    " SELECT poly_id, pos, round(cx + (x - cx) * sqrt(ar.area / ai.area), 5) + 0.0 AS x, round(cy + (y - cy) * sqrt(ar.area / ai.area), 5) + 0.0 AS y FROM inv JOIN ai USING (poly_id) JOIN ar USING (poly_id)", "rings"))
 def match_area(i):
     p = spectral.inverse(spectral.perturb(spectral.descriptors(i.rings), KEY))
-    return spectral.ring_areas(spectral.match_area(p, spectral.ring_areas(i.rings))).select("poly_id", F.round("area", 5).alias("area"))
+    return spectral.match_area(p, spectral.ring_areas(i.rings)).select("poly_id", "pos", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 5) + 0.0).alias("y"))
 
 
 @query(with_inputs(NEXT + ", seg AS (SELECT *, sqrt((x2 - x) * (x2 - x) + (y2 - y) * (y2 - y)) AS d FROM nx), cum AS (SELECT *, sum(d) OVER (PARTITION BY poly_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hi FROM seg), tg AS (SELECT poly_id, i, i * max(hi) / 16 AS t FROM cum, range(16) r(i) GROUP BY poly_id, i) SELECT poly_id, i, round(arg_min(x + (t - (hi - d)) / d * (x2 - x), pos), 6) + 0.0 AS x, round(arg_min(y + (t - (hi - d)) / d * (y2 - y), pos), 6) + 0.0 AS y FROM tg JOIN cum USING (poly_id) WHERE hi - d <= t AND t < hi GROUP BY poly_id, i", "rings"))
@@ -360,7 +365,10 @@ def geojson_features(i):
     return geojson.point_features(i.nodes)
 
 
-@query()
+PAGE = "b AS (SELECT min(x) AS w, max(x) AS e, min(y) AS s, max(y) AS n FROM nodes), pg AS (SELECT node_id, printf('%.1f', 40 + (x - w) / (e - w) * 720) AS px, printf('%.1f', 40 + (y - s) / (n - s) * 520) AS py FROM nodes, b)"
+
+
+@query(with_inputs(PAGE + """ SELECT u, v, '<line x1="' || a.px || '" y1="' || a.py || '" x2="' || b.px || '" y2="' || b.py || '"/>' AS element FROM edges JOIN pg a ON a.node_id = u JOIN pg b ON b.node_id = v""", "edges"))
 def svg_elements(i):
     return svg.svg_lines(graph.with_ends(i.edges, i.nodes), i.nodes)
 
