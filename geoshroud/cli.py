@@ -43,7 +43,7 @@ def main(args: list[str] | None = None) -> int:
     if o.command == "verify":
         print("the checksum agrees" if got == o.checksum else "the checksum differs")
         return int(got != o.checksum)
-    moved = reembed.reembed(g.nodes, g.edges).select("node_id", "x", "y")
+    moved = reembed.reembed(g.nodes, g.edges, key=key).select("node_id", "x", "y")
     geojson.write_collection(moved, g.edges, o.output, got)
     if o.svg:
         svg.page(moved, g.edges).orderBy("layer", "id").select(F.col("element").alias("value")).coalesce(1).write.mode("overwrite").text(o.output + ".svg")

@@ -6,6 +6,9 @@ MAX_NODES are refused: their layout needs the distributed solver that is not her
 
 from __future__ import annotations
 
+import hashlib
+import hmac
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -87,8 +90,9 @@ def lbfgs(f, x: np.ndarray, rounds: int, memory: int = 12, ftol: float = 1e-10)
     return x
 
 
-def stress(u, v, length, faces, areas, weight: float):
-    """Function and gradient of sum((|p_u-p_v|-d)^2/d^2) + weight*sum((|A|-A*)^2/A*^2); faces as (a, b, face) half-edges."""
+def stress(u, v, length, faces, areas, weight: float, fixed: np.ndarray | None = None, edge_weight: float = 1.0):
+    """Function and gradient of edge_weight*sum((|p_u-p_v|-d)^2/d^2) + weight*sum((|A|-A*)^2/A*^2); faces as (a, b, face)
+    half-edges.  Nodes marked in ``fixed`` have no gradient, so they stay where they are."""
     fa, fb, ff = faces
     d2, a2 = np.maximum(length, 1e-12) ** 2, np.maximum(areas, 1e-12) ** 2
 
@@ -98,10 +102,10 @@ def stress(u, v, length, faces, areas, weight: float):
         e = p[u] - p[v]
         r = np.maximum(np.hypot(e[:, 0], e[:, 1]), 1e-12)
         g = np.zeros_like(p)
-        k = (2 * (r - length) / d2 / r)[:, None] * e
+        k = (edge_weight * 2 * (r - length) / d2 / r)[:, None] * e
         for i in range(2):
             g[:, i] = np.bincount(u, k[:, i], n) - np.bincount(v, k[:, i], n)
-        value = ((r - length) ** 2 / d2).sum()
+        value = edge_weight * ((r - length) ** 2 / d2).sum()
         if weight and len(areas):
             A = 0.5 * np.bincount(ff, p[fa, 0] * p[fb, 1] - p[fb, 0] * p[fa, 1], len(areas))
             gap = np.abs(A) - areas
@@ -109,32 +113,69 @@ def stress(u, v, length, faces, areas, weight: float):
             c = (weight * 2 * gap / a2 * np.sign(A))[ff] * 0.5
             g[:, 0] += np.bincount(fa, c * p[fb, 1], n) - np.bincount(fb, c * p[fa, 1], n)
             g[:, 1] += np.bincount(fb, c * p[fa, 0], n) - np.bincount(fa, c * p[fb, 0], n)
+        if fixed is not None:
+            g[fixed] = 0
         return value, g.ravel()
 
     return f
 
 
-def _layout(ids, x, y, u, v, length, fa, fb, ff, areas, outer, rounds, tutte_only, turn) -> np.ndarray:
-    n = len(ids)
+def along(curve: np.ndarray, n: int) -> np.ndarray:
+    """n points at equal arc length along a closed curve."""
+    step = np.hypot(*(np.roll(curve, -1, axis=0) - curve).T)
+    at = np.arange(n) * step.sum() / n
+    ends, closed = np.concatenate([[0], np.cumsum(step)]), np.concatenate([curve, curve[:1]])
+    return np.stack([np.interp(at, ends, closed[:, i]) for i in range(2)], 1)
+
+
+def _area(p: np.ndarray) -> float:
+    return 0.5 * float((p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum())
+
+
+def _layout(ids, x, y, u, v, length, fa, fb, ff, areas, outer, rounds, tutte_only, turn, lengths=True, sizes=True, curve=None, pins=None) -> np.ndarray:
+    """Coordinates of one component.  ``pins`` is (n, 2) with NaN where a node is free."""
+    n, old = len(ids), np.stack([x, y], 1)
+    pinned = np.isfinite(pins).all(1) if pins is not None else np.zeros(n, bool)
     if n < 3 or len(outer) < 3:
-        return np.stack([x, y], 1)
+        return np.where(pinned[:, None], pins, old) if pins is not None else old
     at = np.roll(outer, turn % len(outer))
-    step = np.hypot(x[at] - x[np.roll(at, -1)], y[at] - y[np.roll(at, -1)])
-    angle = 2 * np.pi * np.concatenate([[0], np.cumsum(step)[:-1]]) / max(step.sum(), 1e-12)
-    p = tutte(n, u, v, at, np.stack([np.cos(angle), np.sin(angle)], 1))
-    span, have = np.array([np.ptp(x), np.ptp(y)]), np.maximum(np.ptp(p, axis=0), 1e-12)
-    p = (p - (p.max(0) + p.min(0)) / 2) * (span / have).min() + np.array([(x.max() + x.min()) / 2, (y.max() + y.min()) / 2])
+    if curve is not None:
+        ring = curve if _area(curve) * _area(old[outer]) >= 0 else curve[::-1]
+        p = tutte(n, u, v, at, along(ring, len(at)))
+        k = np.sqrt(abs(_area(curve)) / max(abs(_area(old[outer])), 1e-12))  # lengths and areas to the size of the curve
+        length, areas, span = length * k, areas * k * k, np.ptp(curve, axis=0)
+    else:
+        step = np.hypot(x[at] - x[np.roll(at, -1)], y[at] - y[np.roll(at, -1)])
+        angle = 2 * np.pi * np.concatenate([[0], np.cumsum(step)[:-1]]) / max(step.sum(), 1e-12)
+        p = tutte(n, u, v, at, np.stack([np.cos(angle), np.sin(angle)], 1))
+        span, have = np.array([np.ptp(x), np.ptp(y)]), np.maximum(np.ptp(p, axis=0), 1e-12)
+        p = (p - (p.max(0) + p.min(0)) / 2) * (span / have).min() + np.array([(x.max() + x.min()) / 2, (y.max() + y.min()) / 2])
+    fixed = pinned.copy()
+    if curve is not None:
+        fixed[at] = True
+    if pinned.any():
+        p = np.where(pinned[:, None], pins, p)
     if tutte_only:
         return p
     jitter = np.stack([np.sin(ids * 12.9898 + 1), np.cos(ids * 78.233)], 1) * 1e-4 * max(span.max(), 1e-12)
-    z = lbfgs(stress(u, v, length, (fa, fb, ff), areas, 0.0), (p + jitter).ravel(), rounds)
-    return lbfgs(stress(u, v, length, (fa, fb, ff), areas, 10.0), z, rounds).reshape(-1, 2)
-
-
-def reembed(nodes: DataFrame, edges: DataFrame, rounds: int = 2000, tutte_only: bool = False, turn: int = 0) -> DataFrame:
+    z = np.where(fixed[:, None], p, p + jitter).ravel()
+    if lengths:
+        z = lbfgs(stress(u, v, length, (fa, fb, ff), areas, 0.0, fixed), z, rounds)
+    if sizes:
+        z = lbfgs(stress(u, v, length, (fa, fb, ff), areas, 10.0, fixed, float(lengths)), z, rounds)
+    return z.reshape(-1, 2)
+
+
+def reembed(
+    nodes: DataFrame, edges: DataFrame, rounds: int = 2000, tutte_only: bool = False, turn: int = 0, key: bytes | None = None,
+    preserve_lengths: bool = True, preserve_areas: bool = True, curve: list[tuple[float, float]] | None = None, pins: DataFrame | None = None,
+) -> DataFrame:
     """``node_id, x, y``: new coordinates with the lengths and face areas of the old ones, by component.
 
-    ``turn`` shifts the start of the outer cycle on the circle (a keyed draw makes the output depend on the key).
+    ``turn`` shifts the start of the outer cycle on its curve; with a ``key`` that is drawn from the key and the component's
+    least node, so the output depends on it.  ``curve`` is a closed outline (its first point not repeated) on which the outer
+    cycle is put at equal arc lengths and held, all targets scaled to its size; without it the layout keeps the old bounding box.
+    ``pins`` (node_id, x, y) are held where they say.
     """
     comp = keep(components(nodes, edges), "components")
     big = comp.groupBy("component").agg(F.count("*").alias("k")).agg(F.max("k")).first()[0] or 0
@@ -142,7 +183,12 @@ def reembed(nodes: DataFrame, edges: DataFrame, rounds: int = 2000, tutte_only:
         raise ValueError(f"a component has {big} nodes; the optimiser takes at most {MAX_NODES}")
     half = keep(half_edges(nodes, edges), "faces")
     areas = face_areas(half)
-    rows = nodes.select("node_id", "x", "y").join(comp, "node_id").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("node_id", "x", "y"))).alias("nodes"))
+    nan = F.lit(float("nan"))
+    held = nodes.select("node_id", "x", "y")
+    held = held.join(pins.select("node_id", F.col("x").alias("px"), F.col("y").alias("py")), "node_id", "left") if pins is not None else held.withColumn("px", nan).withColumn("py", nan)
+    held = held.select("node_id", "x", "y", F.coalesce("px", nan).alias("px"), F.coalesce("py", nan).alias("py"))
+    rows = held.join(comp, "node_id").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("node_id", "x", "y", "px", "py"))).alias("nodes"))
+    outline, has_pins = None if curve is None else np.array(curve, float), pins is not None
     e = edge_lengths(edges, nodes).join(comp.withColumnRenamed("node_id", "u"), "u").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("u", "v", "length"))).alias("edges"))
     h = half.join(areas, "face").join(comp.withColumnRenamed("node_id", "u"), "u").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("face", "u", "v", "area"))).alias("half"))
 
@@ -167,7 +213,9 @@ def reembed(nodes: DataFrame, edges: DataFrame, rounds: int = 2000, tutte_only:
             target = np.zeros(len(names))
             target[ff] = np.abs(area[inner])
             seen = list(dict.fromkeys(ring))[::-1]
-            p = _layout(ids, x, y, at("u", es), at("v", es), np.array([a["length"] for a in es], float), hu[inner], hv[inner], ff, target, np.array(seen, np.int64), rounds, tutte_only, turn)
+            drawn = turn if key is None else int.from_bytes(hmac.new(key, b"turn %d" % ids[0], hashlib.sha256).digest()[:8], "big")
+            held_at = np.array([[a["px"], a["py"]] for a in r.nodes], float) if has_pins else None
+            p = _layout(ids, x, y, at("u", es), at("v", es), np.array([a["length"] for a in es], float), hu[inner], hv[inner], ff, target, np.array(seen, np.int64), rounds, tutte_only, drawn, preserve_lengths, preserve_areas, outline, held_at)
             out.append(pd.DataFrame({"node_id": ids, "x": p[:, 0], "y": p[:, 1]}))
         return pd.concat(out)
 

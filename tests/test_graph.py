@@ -91,3 +91,24 @@ def test_layers_refuse_bad_input(spark):
         layers.add("b", "points", df.limit(0))
     with pytest.raises(TypeError):
         layers.add("c", "points", 42)
+
+
+def test_reembedding_on_a_curve_with_pins_and_keys(spark):
+    n, e = grid(spark, 5, 4)
+    curve = [(20.0, 0.0), (30.0, 0.0), (30.0, 10.0), (20.0, 10.0)]
+    at = lambda df: {r.node_id: (r.x, r.y) for r in df.collect()}
+    on = at(reembed.reembed(n, e, 300, curve=curve))
+    rim = [p for p in on.values() if min(abs(p[0] - 20), abs(p[0] - 30), abs(p[1]), abs(p[1] - 10)) < 1e-9]
+    assert len(rim) == 14 and all(20 - 1e-9 <= x <= 30 + 1e-9 and -1e-9 <= y <= 10 + 1e-9 for x, y in on.values())
+    first = n.orderBy("node_id").first().node_id
+    pins = spark.createDataFrame([(first, -3.0, -4.0)], "node_id long, x double, y double")
+    assert at(reembed.reembed(n, e, 300, pins=pins))[first] == (-3.0, -4.0)
+    one, again, other = (at(reembed.reembed(n, e, 100, key=bytes([k]) * 32)) for k in (1, 1, 2))
+    assert one == again and any(abs(one[i][0] - other[i][0]) > 1e-3 for i in one)
+    loose = at(reembed.reembed(n, e, 100, preserve_lengths=False, preserve_areas=False))
+    assert max(abs(loose[i][0] - x) for i, (x, _) in at(reembed.reembed(n, e, 100, tutte_only=True)).items()) < 1e-2
+
+
+def test_round_trip_sees_missing_nodes(spark):
+    n, _ = grid(spark, 3, 3)
+    assert verify.round_trip(n, n).first().same and not verify.round_trip(n, n.filter("node_id > 0")).first().same
