@@ -21,7 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import merge_labels
@@ -37,6 +37,9 @@ COUNTED = 6_000_000
 #: A frequent shingle is in so many different texts, counted where a task sees it so many times.
 FREQUENT, LOCALLY = 8, 3
 STAR_ROUNDS = 4
+#: Lists with more rows than this outside their largest component are compared by differences from a pivot, in at most so many
+#: rounds; a class is near its pivot if it differs in at most this share of its shingles.
+CROWDED, PIVOT_ROUNDS, CORE = 8, 2, 0.5
 #: Bits of the parity marks by which most pairs that cannot link are refused inside the join.
 MARK_BITS = 512
 #: The last round starts as soon as it makes at most so many pairs for each row of the open shingles, or as soon as a
@@ -158,13 +161,21 @@ class _Sets:
 
 
 def _wide_mark(s: np.ndarray) -> bytes:
-    """Parity mark with about one bit for each shingle, so that it stays telling for long texts."""
-    bits = max(MARK_BITS, 1 << int(len(s)).bit_length())
+    """Parity mark with four to eight bits for each shingle, so that it stays telling for long texts."""
+    bits = max(MARK_BITS, 4 << int(len(s)).bit_length())
     return np.packbits((np.bincount(s & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
+def _apart(wa: bytes, wb: bytes) -> int:
+    """In how many shingles two sets differ at least; the longer mark is folded on the shorter."""
+    wa, wb = np.frombuffer(wa, np.uint8), np.frombuffer(wb, np.uint8)
+    short = min(len(wa), len(wb))
+    wa, wb = (np.bitwise_xor.reduce(w.reshape(-1, short)) for w in (wa, wb))
+    return int(np.bitwise_count(wa ^ wb).sum())
+
+
 def _wide_marks_allow(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """The pairs that wide marks do not refuse; of two lengths the longer mark is folded on the shorter."""
+    """The pairs that wide marks do not refuse."""
     a = sets.select(F.col("v").alias("a"), F.size("s").alias("na"), F.col("w").alias("wa"))
     b = sets.select(F.col("v").alias("b"), F.size("s").alias("nb"), F.col("w").alias("wb"))
 
@@ -172,11 +183,7 @@ def _wide_marks_allow(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
         for x in batches:
             ok = []
             for na, nb, wa, wb in zip(*(x.column(c).to_pylist() for c in ("na", "nb", "wa", "wb"))):
-                wa, wb = np.frombuffer(wa, np.uint8), np.frombuffer(wb, np.uint8)
-                short = min(len(wa), len(wb))
-                wa, wb = (np.bitwise_xor.reduce(w.reshape(-1, short)) for w in (wa, wb))
-                apart = int(np.bitwise_count(wa ^ wb).sum())
-                ok.append((100 + pct) * (na + nb - apart) >= 2 * pct * (na + nb))
+                ok.append((100 + pct) * (na + nb - _apart(wa, wb)) >= 2 * pct * (na + nb))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.join(a, "a").join(b, "b").mapInArrow(keep, "a long, b long")
@@ -219,7 +226,7 @@ def _collapsed(met: DataFrame, scratch: Scratch) -> DataFrame:
     A passage gives many shingles with one posting list; they would make the same pairs again and again.  Lists are told
     apart by size and xor of their class keys: should two differ and agree in that, they only make pairs to be refused.
     """
-    lists = met.groupBy("tok").agg(F.xxhash64(F.count("*"), F.bit_xor("v")).alias("list"))
+    lists = met.groupBy("tok").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("v"))).alias("list"))
     out = met.join(lists.hint("merge"), "tok").groupBy("list", "v").agg(F.first("n").alias("n"), F.min("p").alias("p"))
     out = scratch.keep(out.select("v", "n", "p", F.col("list").alias("tok")), "met")
     scratch.drop(met)
@@ -230,6 +237,111 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).filter("a <> b").distinct()
 
 
+def _without(kept: DataFrame, column: str) -> DataFrame:
+    out = kept.drop(column)
+    out._scratch_path = kept._scratch_path
+    return out
+
+
+def _open(met: DataFrame, labels: DataFrame, scratch: Scratch) -> tuple[DataFrame | None, DataFrame | None]:
+    """Rows of ``met``, with their component c, of the shingles that lie in several; each shingle's largest component ``main``,
+    its rows ``most`` and all rows ``k``.  Nothing where no shingle is open."""
+    here = met.join(labels.hint("merge"), "v")
+    open_ = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
+    here = scratch.keep(here.join(open_.hint("merge"), "tok"), "open")
+    if here.isEmpty():
+        return None, None
+    size = here.groupBy("tok", "c").agg(F.count("*").alias("k"))
+    return here, scratch.keep(size.groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k")), "main")
+
+
+def _met(here: DataFrame, rest: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
+    """Pairs of a class of ``here`` and one of ``rest`` on one shingle, in different components, that no bound refuses."""
+    rest = rest.select("tok", F.col("v").alias("v2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("marks").alias("marks2"))
+    return scratch.keep(_pairs(here.join(rest.hint("merge"), "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct))), "pairs")
+
+
+def _by_differences(crowded: DataFrame, labels: DataFrame, marks: DataFrame, sets: _Sets, pct: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Labels after all links that a class near a pivot has within ``crowded`` (tok, v, c, main); and those (main, v).
+
+    Every component ``main`` has one pivot set P, and a class x is held by its difference S = x xor P.  With m = |S|, n = |x|
+    and F = (100 + pct) m - (100 - pct) n, x and y link exactly when F(x) + F(y) <= 2 (100 + pct) |S(x) and S(y)|:
+
+    * where F(x) + F(y) <= 0 they link whatever they share, and then both link with the class of least F: a star says it all;
+    * else their differences share at least one shingle, and after their first one (rare shingles come first) enough are left.
+      Classes of a shingle with F in one step form a group; group pairs that their bounds refuse go, the others are expanded.
+
+    A class is near if m <= CORE n; whatever links with it has a difference of at most the bound used below (by the triangle
+    inequality), so a near class is done with after this.
+    """
+    up, down = 100 + pct, 100 - pct
+    far = (CORE + down / up) * 100 / pct + down / up
+    core = lambda n: CORE * n
+    reach = lambda n: far * n + 1
+    often = crowded.filter("c = main").groupBy("main", "v").agg(F.count("*").alias("k"))
+    pivots = scratch.keep(often.groupBy("main").agg(F.max_by("v", F.struct("k", -F.col("v"))).alias("pivot")), "pivots")
+    near = crowded.select("main", "v").distinct().join(pivots.hint("merge"), "main")
+    p = marks.select(F.col("v").alias("pivot"), F.col("n").alias("n2"), F.col("marks").alias("marks2"))
+    apart = sum(F.bit_count(F.col("marks")[i].bitwiseXOR(F.col("marks2")[i])) for i in range(MARK_BITS // 64))
+    near = near.join(marks.hint("merge"), "v").join(p.hint("merge"), "pivot").filter(F.greatest(apart, F.abs(F.col("n") - F.col("n2"))) <= reach(F.col("n"))).select("main", "pivot", "v")
+    near = scratch.keep(near, "near")
+    whole = sets.of(near.select(F.col("pivot").alias("a"), F.col("v").alias("b")))
+    w = whole.select("v", "w", F.size("s").alias("n"))
+    likely = near.join(w.hint("merge"), "v").join(w.select(F.col("v").alias("pivot"), F.col("w").alias("w2")).hint("merge"), "pivot")
+
+    def in_reach(batches):  # whole sets travel only for classes that wide marks do not refuse
+        for x in batches:
+            ok = [_apart(*ww) <= reach(n) for n, *ww in zip(*(x.column(c).to_pylist() for c in ("n", "w", "w2")))]
+            yield x.select(["main", "pivot", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    near = scratch.keep(likely.select("main", "pivot", "v", "n", "w", "w2").mapInArrow(in_reach, "main long, pivot long, v long"), "in-reach")
+    both = near.join(whole.select("v", "s").hint("merge"), "v").join(whole.select(F.col("v").alias("pivot"), F.col("s").alias("sp")).hint("merge"), "pivot")
+
+    def differ(batches):
+        for x in batches:
+            n, out = [], []
+            for s, sp in zip(x.column("s"), x.column("sp")):
+                s = s.values.to_numpy()
+                n.append(len(s))
+                out.append(np.setxor1d(s, sp.values.to_numpy(), assume_unique=True))
+            yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("main", "pivot", "v")), pa.array(n, pa.int64()), pa.array(out, pa.list_(pa.int64()))], ["main", "pivot", "v", "n", "s"])
+
+    found = both.select("main", "pivot", "v", "s", "sp").mapInArrow(differ, "main long, pivot long, v long, n long, s array<long>")
+    found = found.withColumn("m", F.size("s").cast("long")).withColumn("f", F.col("m") * up - F.col("n") * down).filter(F.col("m") <= reach(F.col("n")))
+    found = scratch.keep(found, "differences")
+    least = found.groupBy("pivot").agg(F.min_by(F.struct("f", "v"), F.struct("f", "v")).alias("l")).select("pivot", F.col("l.f").alias("f2"), F.col("l.v").alias("b"))
+    star = found.select("pivot", "v", "f").join(least.hint("merge"), "pivot").filter("f + f2 <= 0 and v <> b").select(F.col("v").alias("a"), "b")
+    labels = merge_labels(labels, scratch.keep(star, "star"), scratch)
+
+    held = found.select("pivot", "v", "m", "f", (F.col("m") <= core(F.col("n"))).alias("core"), F.explode("s").alias("u"))
+    common = held.groupBy("pivot", "u").agg(F.count("*").alias("df")).filter("df > 1")
+    back = Window.partitionBy("pivot", "v").orderBy(F.desc("df"), F.desc("u"))
+    held = held.join(common.hint("merge"), ["pivot", "u"]).withColumn("rem", F.row_number().over(back).cast("long")).withColumn("step", F.floor(F.col("f") / (2 * up)))
+    held = scratch.keep(held.drop("df", "m"), "held")
+    enough = F.least("rem", "rem2") * (2 * up) >= F.col("f") + F.col("f2")
+    for turn in ("hub", "rest"):  # first each shingle's class of least F, which merges most; then whatever is left
+        here = held.join(labels.hint("merge"), "v")
+        sizes = here.groupBy("pivot", "u", "c").agg(F.count("*").alias("k"))
+        sizes = sizes.groupBy("pivot", "u").agg(F.max_by("c", F.struct("k", "c")).alias("most"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("pivot", "u", "most")
+        here = scratch.keep(here.join(sizes.hint("merge"), ["pivot", "u"]), f"open-{turn}")
+        if turn == "hub":
+            hubs = here.groupBy("pivot", "u").agg(F.min_by(F.struct("f", "v", "c", "rem", "core"), F.struct("f", "v")).alias("h"))
+            met = here.join(hubs.select("pivot", "u", *[F.col(f"h.{c}").alias(f"{c}2") for c in ("f", "v", "c", "rem", "core")]).hint("merge"), ["pivot", "u"])
+        else:
+            groups = here.groupBy("pivot", "u", F.col("step").alias("step2")).agg(F.min("f").alias("f2"), F.max("rem").alias("rem2"), F.min("c").alias("lo"), F.max("c").alias("hi"))
+            asks = here.filter("c <> most").join(groups.hint("merge"), ["pivot", "u"]).filter(enough).filter("lo <> hi or lo <> c")
+            asks = scratch.keep(asks.select("pivot", "u", F.col("step2").alias("step"), *[F.col(c).alias(f"{c}2") for c in ("f", "v", "c", "rem", "core")]), "asks")
+            met = here.select("pivot", "u", "step", "f", "v", "c", "rem", "core").join(asks.hint("merge"), ["pivot", "u", "step"])
+        pairs = met.filter("c <> c2 and (core or core2)").filter(enough)
+        pairs = scratch.keep(pairs.select("pivot", F.least("v", "v2").alias("a"), F.greatest("v", "v2").alias("b")).distinct(), "pairs")
+        a, b = (found.select("pivot", F.col("v").alias(x), F.col("f").alias(f"f{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
+        links = pairs.join(a.hint("merge"), ["pivot", "a"]).join(b.hint("merge"), ["pivot", "b"]).filter(F.size(F.array_intersect("sa", "sb")) * (2 * up) >= F.col("fa") + F.col("fb"))
+        labels = merge_labels(labels, scratch.keep(links.select("a", "b"), "links"), scratch)
+    done = scratch.keep(found.filter(F.col("m") <= core(F.col("n"))).select("main", "v"), "done")
+    scratch.drop(near, held, found)
+    return labels, done
+
+
 def _joined(spark: SparkSession, docs: DataFrame, k: int, pct: int):
     """Scratch space, rows, classes, labels of the classes with a shared shingle, and whole sets."""
     small_batches(spark)
@@ -238,7 +350,7 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, pct: int):
     rows = scratch.keep(_described(docs, k, pct, _frequent(docs, k)), "rows")
     classes = (
         rows.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("marks").alias("marks"))
-        .withColumn("v", F.xxhash64("hi", "lo"))
+        .withColumn("v", F.monotonically_increasing_id())  # fixed by the table that keep() writes
     )
     classes = scratch.keep(classes, "classes")
     slim = scratch.keep(rows.select("doc_id", "n", "hi", "lo"), "slim-rows")
@@ -269,34 +381,51 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, pct: int):
     links = scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), "links")
     scratch.reclaim()
     labels = merge_labels(labels, links, scratch)
-    seen, before = met, float("inf")
-    for turn in range(STAR_ROUNDS + 1):  # a shingle within one component stays so: each round takes up what the last left open
-        here = seen.join(labels.hint("merge"), "v")
-        open_ = here.groupBy("tok").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo <> hi").select("tok")
-        here = scratch.keep(here.join(open_.hint("merge"), "tok"), f"open{turn}")
+    seen, before, opened = met, float("inf"), None
+    for turn in range(STAR_ROUNDS):  # a shingle within one component stays so: each round takes up what the last left open
+        here, main = _open(seen, labels, scratch)
         scratch.drop(seen)
-        if here.isEmpty():
-            break
-        seen = here.drop("c")
-        seen._scratch_path = here._scratch_path
-        size = here.groupBy("tok", "c").agg(F.count("*").alias("k"))
-        main = scratch.keep(size.groupBy("tok").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("k")), f"main{turn}")
+        if here is None:
+            return scratch, rows, classes, labels, sets
+        seen = _without(here, "c")
         work = main.agg(F.sum((F.col("k") - F.col("most")) * F.col("k").cast("double")).alias("pairs"), F.sum("k").alias("rows")).first()
-        last = turn == STAR_ROUNDS or work["pairs"] <= LINEAR * work["rows"] or 2 * work["pairs"] > before
+        if work["pairs"] <= LINEAR * work["rows"] or 2 * work["pairs"] > before:
+            opened = here, main
+            break
         before = work["pairs"]
         here = here.join(marks.select("v", "marks").hint("merge"), "v")
         rest = here.join(main.select("tok", "main").hint("merge"), "tok").filter(F.col("c") != F.col("main"))
-        if not last:
-            rest = rest.groupBy("tok").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("x"), "v", "c", "n", "p", "marks")).alias("m")).select("tok", "m.*")
-        rest = rest.select("tok", F.col("v").alias("v2"), F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("p").alias("p2"), F.col("marks").alias("marks2"))
-        pairs = scratch.keep(_pairs(here.join(rest.hint("merge"), "tok").filter(F.col("c") != F.col("c2")).filter(_may_link(pct)).filter(_marks_allow(pct))), f"pairs{turn}")
+        rest = rest.groupBy("tok").agg(F.min(F.struct(F.xxhash64("v", F.lit(turn)).alias("x"), "v", "c", "n", "p", "marks")).alias("m")).select("tok", "m.*")
+        pairs = _met(here, rest, pct, scratch)
         scratch.reclaim()
-        links = scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), f"links{turn}")
-        labels = merge_labels(labels, links, scratch)
+        labels = merge_labels(labels, scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), f"links{turn}"), scratch)
         scratch.drop(main)
-        if last:
+    for turn in range(PIVOT_ROUNDS):
+        if opened is None:
+            opened = _open(seen, labels, scratch)
+            scratch.drop(seen)
+        here, main = opened
+        if here is None:
+            return scratch, rows, classes, labels, sets
+        seen = _without(here, "c")
+        crowded = main.filter(F.col("k") - F.col("most") > CROWDED).select("tok", "main")
+        if crowded.isEmpty():
             break
-
+        opened = None
+        crowded = scratch.keep(here.join(crowded.hint("merge"), "tok"), f"crowded{turn}")
+        labels, done = _by_differences(crowded, labels, marks, sets, pct, scratch)
+        left = crowded.join(done.hint("merge"), ["main", "v"], "left_anti").select(*seen.columns)
+        calm = seen.join(crowded.select("tok").distinct().hint("merge"), "tok", "left_anti").select(*seen.columns)
+        fewer = scratch.keep(calm.union(left), "met")
+        scratch.drop(seen, crowded)
+        seen = fewer
+    here, main = opened or _open(seen, labels, scratch)
+    if here is not None:
+        here = here.join(marks.select("v", "marks").hint("merge"), "v")
+        rest = here.join(main.select("tok", "main").hint("merge"), "tok").filter(F.col("c") != F.col("main"))
+        pairs = _met(here, rest, pct, scratch)
+        scratch.reclaim()
+        labels = merge_labels(labels, scratch.keep(_verified(pairs, sets.of(pairs), pct, scratch), "links"), scratch)
     return scratch, rows, classes, labels, sets
 
 
