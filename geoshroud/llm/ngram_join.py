@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .components import merge_labels
 from .hashing import shingle_set
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, fresh, small_batches
 
 #: At most so many frequent shingles are sent to the executors (8 bytes each); the others keep their hash order.
 MAX_FREQUENT = 1_000_000
@@ -93,12 +93,12 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _described(docs: DataFrame, k: int, pct: int, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n_shingles, key of the set, and the prefix in order."""
+    """doc_id, hash of the text, n_shingles, key of the set, and the prefix in order."""
     hot = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def describe(batches):
         freq = hot.value
-        for b, texts, ids in _texts(batches, "doc_id"):
+        for b, texts, ids, t64 in _texts(batches, "doc_id", "t"):
             n, hi, lo, prefix, marks = [], [], [], [], []
             for t in texts:
                 s = shingle_set(t, k)
@@ -118,11 +118,11 @@ def _described(docs: DataFrame, k: int, pct: int, frequent: np.ndarray) -> DataF
                     s = np.concatenate([s[~last], s[last]])
                 prefix.append(s[:p])
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
-                ["doc_id", "n", "hi", "lo", "prefix", "marks"],
+                [ids.cast(pa.int64()), t64, pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(prefix, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int64()))],
+                ["doc_id", "t", "n", "hi", "lo", "prefix", "marks"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(describe, "doc_id long, n long, hi long, lo long, prefix array<long>, marks array<long>")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("t")).mapInArrow(describe, "doc_id long, t long, n long, hi long, lo long, prefix array<long>, marks array<long>")
 
 
 class _Sets:
@@ -353,7 +353,7 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, pct: int):
         .withColumn("v", F.monotonically_increasing_id())  # fixed by the table that keep() writes
     )
     classes = scratch.keep(classes, "classes")
-    slim = scratch.keep(rows.select("doc_id", "n", "hi", "lo"), "slim-rows")
+    slim = scratch.keep(rows.select("doc_id", "t", "n", "hi", "lo"), "slim-rows")
     scratch.drop(rows)
     rows = slim
     tokens = classes.select("v", "n", F.posexplode("prefix").alias("p", "tok"))
@@ -443,10 +443,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
     Repeated rows are in one class; a null doc_id stays null and takes the smallest non-null doc_id of its component.
     Columns other than doc_id and text are ignored.  Very long texts are hashed in pieces.  An empty table gives no row.
     """
+    return _components(spark, docs, k, pct).drop("t")
+
+
+def _components(spark: SparkSession, docs: DataFrame, k: int, pct: int) -> DataFrame:
+    """``jaccard_components`` with the hash ``t`` of every row's text."""
     scratch, rows, classes, labels, _ = _joined(spark, docs, k, pct)
     named = scratch.keep(_named(classes, labels).select("hi", "lo", "component_id"), "named")
-    out = rows.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(named, ["hi", "lo"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.select("doc_id", "t", F.col("n").alias("n_shingles"), "hi", "lo").join(named, ["hi", "lo"], "left")
+    return out.select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _same(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -519,14 +524,17 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 8
 def keep_one(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 80) -> DataFrame:
     """``docs`` with one document of each component: that of the smallest doc_id; all columns as they are.
 
-    Texts without shingles and rows without a doc_id all stay.  Of rows that repeat both doc_id and text one stays.
+    Texts without shingles and rows without a doc_id all stay.  Of rows that repeat both doc_id and text one stays; where
+    different texts share a doc_id, each stays or goes with its own component.
     """
     scratch = Scratch(spark, "keep-one")
-    found = scratch.keep(jaccard_components(spark, docs, k, pct), "components")
-    gone = scratch.keep(found.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct(), "gone")
+    t = fresh(docs, "t")
+    found = scratch.keep(_components(spark, docs, k, pct).withColumnRenamed("t", t), "components")
+    gone = scratch.keep(found.filter("n_shingles > 0 and doc_id <> component_id").select("doc_id", t).distinct(), "gone")
     few = gone.count() <= MAX_BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
-    twice = scratch.keep(found.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1 and doc_id is not null").select("doc_id"), "twice")
+    kept = docs.withColumn(t, F.xxhash64("text")).join(F.broadcast(gone) if few else gone, ["doc_id", t], "left_anti")
+    twice = scratch.keep(found.groupBy("doc_id", t).agg(F.count("*").alias("c")).filter("c > 1 and doc_id is not null").select("doc_id", t), "twice")
     if twice.isEmpty():
-        return kept
-    return kept.join(twice, "doc_id", "left_anti").unionByName(kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+        return kept.select(*docs.columns)
+    once = kept.join(twice, ["doc_id", t], "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, ["doc_id", t], "left_anti").unionByName(once).select(*docs.columns)

@@ -156,3 +156,13 @@ def test_empty_tables(spark, sheet, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         if name in ("toxicity", "decontamination"):
             assert texts_of(stage(spark, docs, str(tmp_path))) == texts_of(docs), name  # nothing to learn from, nothing to find
+
+
+def test_texts_that_share_an_id_go_with_their_own_component(spark):
+    from geoshroud.llm.ngram_join import keep_one
+
+    r = random.Random(1)
+    a, b, c = (" ".join(r.choice("abcdefghij") * r.randint(1, 9) for _ in range(40)) for _ in range(3))
+    rows = [(1, a, "x"), (5, a + " more", "y"), (5, b, "z"), (7, c, "w"), (7, c, "w")]
+    got = keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string, _t string")).collect()
+    assert sorted(map(tuple, got)) == sorted([rows[0], rows[2], rows[3]])
