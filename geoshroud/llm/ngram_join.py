@@ -39,7 +39,7 @@ FREQUENT, LOCALLY = 8, 3
 STAR_ROUNDS = 4
 #: Lists with more rows than this outside their largest component are compared by differences from a pivot, in at most so many
 #: rounds; a class is near its pivot if it differs in at most this share of its shingles.
-CROWDED, PIVOT_ROUNDS, CORE = 8, 2, 0.5
+CROWDED, PIVOT_ROUNDS, CORE = 8, 2, 0.25
 #: Bits of the parity marks by which most pairs that cannot link are refused inside the join.
 MARK_BITS = 512
 #: The last round starts as soon as it makes at most so many pairs for each row of the open shingles, or as soon as a
