@@ -27,3 +27,9 @@ def test_inner_nodes_of_a_large_component_are_means_of_their_neighbours(lattice)
     mean = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4
     assert np.abs(p[1:-1, 1:-1] - mean).max() < 1e-6
     assert np.ptp(p[..., 0]) <= W - 1 + 1e-6 and np.ptp(p[..., 1]) <= H - 1 + 1e-6
+
+
+def test_a_large_component_is_optimised(lattice):
+    start, p = grid(reembed.reembed(*lattice, tutte_only=True)), grid(reembed.reembed(*lattice, rounds=3))
+    off = lambda q: np.concatenate([(np.hypot(*np.moveaxis(np.diff(q, axis=i), -1, 0)) - 1).ravel() for i in (0, 1)])
+    assert np.isfinite(p).all() and (off(p) ** 2).sum() < (off(start) ** 2).sum()
