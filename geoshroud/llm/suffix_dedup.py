@@ -205,6 +205,32 @@ def repeats(spark: SparkSession, docs: DataFrame, n: int, scratch: Scratch) -> D
     return _repeats(spark, docs.select(_key("doc_id", "text").alias("key"), "text"), n, max(1, n // 4), scratch)
 
 
+def _longer(spark: SparkSession, keyed: DataFrame, cuts: DataFrame, n: int, scratch: Scratch) -> DataFrame:
+    """``key, cut`` for windows of ``n`` bytes from the ``cuts`` of shorter ones.
+
+    A string that repeats has only repeated strings inside, so both of its places lie in runs that were cut: the search
+    over these runs in place of the texts loses none.
+    """
+
+    def pieces(batches):
+        for b in batches:
+            out = {c: [] for c in ("hi", "lo", "at", "text")}
+            for key, t, cut in zip(b.column("key").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("cut").to_pylist()):
+                for lo, hi in merged(cut):
+                    if hi - lo >= n:
+                        out["hi"].append(key["hi"]), out["lo"].append(key["lo"]), out["at"].append(lo), out["text"].append(t[lo:hi])
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if c == "text" else pa.int64()) for c, v in out.items()], list(out))
+
+    runs = keyed.join(cuts.hint("merge"), "key").mapInArrow(pieces, "hi long, lo long, at long, text binary")
+    runs = scratch.keep(runs.select(_key("hi", "lo", "at").alias("key"), F.struct("hi", "lo").alias("of"), "at", "text"), "runs")
+    inner = _repeats(spark, runs.select("key", "text"), n, max(1, n // 4), scratch)
+    x = inner.select("key", F.explode("cut").alias("x")).join(runs.select("key", "of", "at").distinct().hint("merge"), "key")
+    out = x.groupBy(F.col("of").alias("key")).agg(F.collect_set(F.struct((F.col("x.lo") + F.col("at")).alias("lo"), (F.col("x.hi") + F.col("at")).alias("hi"))).alias("cut"))
+    out = scratch.keep(out, "longer")
+    scratch.drop(runs, inner)
+    return out
+
+
 def merged(cut: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of the union of the spans."""
     out: list[list[int]] = []
@@ -216,32 +242,44 @@ def merged(cut: list[dict] | None) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def dedup_spans(spark: SparkSession, docs: DataFrame, n: int = 400, with_text: bool = False) -> DataFrame:
+def dedup_spans(spark: SparkSession, docs: DataFrame, n: int = 400, with_text: bool = False, text_n: int | None = None) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``) with what is left of its bytes.
 
     A byte goes if some n-byte string that covers it starts at another place too, in any row's text, its own included.
     Columns ``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked, ``text``: the remaining text (the bytes
-    of a character cut in two are left out there; null stays null).  Null texts count as empty; texts of fewer than n
+    of a character cut in two are left out there; null stays null).  With ``text_n`` (at most n), ``text`` is what strings of
+    ``text_n`` bytes leave, as in ``without_repeats``; the other columns hold for n.  Null texts count as empty; texts of fewer than n
     bytes lose nothing; repeated rows are repeats of each other; other columns are ignored; an empty table gives no row.
     """
     small_batches(spark)
     scratch = Scratch(spark, "repeats")
-    cuts = repeats(spark, docs, n, scratch)
-    rows = docs.select("doc_id", "text", _key("doc_id", "text").alias("key")).join(cuts, "key", "left").select("doc_id", "text", "cut")
+    short = text_n if with_text and text_n and text_n < n else n
+    keyed = docs.select("doc_id", "text", _key("doc_id", "text").alias("key"))
+    cuts = repeats(spark, docs, short, scratch)
+    if short < n:
+        long = _longer(spark, keyed.select("key", "text"), cuts, n, scratch)
+        cuts = cuts.withColumnRenamed("cut", "short").join(long.hint("merge"), "key", "left")
+    else:
+        cuts = cuts.withColumn("short", F.col("cut"))
+    rows = keyed.join(cuts, "key", "left").select("doc_id", "text", "cut", "short")
+
+    def without(x: bytes, spans: list[tuple[int, int]]) -> bytes:
+        left, at = [], 0
+        for lo, hi in spans:
+            left.append(x[at:lo])
+            at = hi
+        return b"".join([*left, x[at:]]) if spans else x
 
     def apply(batches):
         for b in batches:
             nb, nr, ns, sha, kept = [], [], [], [], []
-            for t, cut in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("cut").to_pylist()):
+            for t, cut, more in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("cut").to_pylist(), b.column("short").to_pylist()):
                 spans, x = merged(cut), t or b""
-                left, at = [], 0
-                for lo, hi in spans:
-                    left.append(x[at:lo])
-                    at = hi
-                rest = b"".join([*left, x[at:]]) if spans else x
+                rest = without(x, spans)
                 nb.append(len(x)), nr.append(len(x) - len(rest)), ns.append(len(spans))
                 sha.append(hashlib.sha256(rest).hexdigest())
-                kept.append(None if t is None else rest.decode("utf-8", "ignore"))
+                if with_text:
+                    kept.append(None if t is None else (without(x, merged(more)) if short < n else rest).decode("utf-8", "ignore"))
             cols = [b.column("doc_id").cast(pa.int64()), *(pa.array(v, pa.int64()) for v in (nb, nr, ns)), pa.array(sha, pa.string())]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string())] if with_text else cols, [*names, "text"] if with_text else names)
