@@ -18,6 +18,7 @@ Steps (all tables below are Parquet in the shared folder, so lost executors cost
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -126,12 +127,15 @@ def _described(docs: DataFrame, k: int, pct: int, frequent: np.ndarray) -> DataF
 
 
 class _Sets:
-    """Whole sets of the classes that some candidate pair names, from further scans of the texts; each is built once."""
+    """Whole sets of the classes that some candidate pair names, from further scans of the texts; each is built once, and
+    dealt once, by class."""
 
     def __init__(self, docs: DataFrame, classes: DataFrame, k: int, scratch: Scratch):
         if not docs.filter("doc_id is null").isEmpty():  # rows without an id are found by the key of their set
             docs, classes = (t.withColumn("doc_id", F.coalesce("doc_id", F.lit(-(2**62)))) for t in (docs, classes))
         self.docs, self.ids, self.k, self.scratch, self.known = docs, classes.select("v", "doc_id", "hi"), k, scratch, None
+        self.table = f"sets_{uuid.uuid4().hex}"
+        self.repeated = not docs.groupBy("doc_id").agg(F.count("*").alias("c")).filter("c > 1").isEmpty()
 
     def of(self, pairs: DataFrame) -> DataFrame:
         """v and s of at least every class in ``pairs`` (a, b)."""
@@ -153,12 +157,15 @@ class _Sets:
         # rows that share a doc_id but not the set are other classes' rows
         new = here.select("v", "hi", "text").mapInArrow(build, "v long, s array<long>, w binary, own boolean").filter("own").drop("own")
         if self.known is None or n:
-            new = self.scratch.keep(new, "sets")
-            if new.count() > n:  # repeated rows each gave their set
-                new = self.scratch.keep(new.dropDuplicates(["v"]), "sets")
-            self.known = new if self.known is None else self.known.unionByName(new)
+            if self.repeated:  # repeated rows each give their set
+                new = new.dropDuplicates(["v"])
+            self.known = self.scratch.append_keyed(new, self.table, "v")
+            self.scratch.reclaim()
         return self.known
 
+    def close(self) -> None:
+        self.scratch.drop_keyed(self.table)
+
 
 def _wide_mark(s: np.ndarray) -> bytes:
     """Parity mark with four to eight bits for each shingle, so that it stays telling for long texts."""
@@ -186,15 +193,22 @@ def _wide_marks_allow(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
                 ok.append((100 + pct) * (na + nb - _apart(wa, wb)) >= 2 * pct * (na + nb))
             yield x.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(a, "a").join(b, "b").mapInArrow(keep, "a long, b long")
+    return pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(keep, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
     """The pairs that link, by their whole sets."""
     pairs = scratch.keep(_wide_marks_allow(pairs, sets, pct), "likely")
+    # the class with more pairs comes first, as rows that carry a set are then dealt by the other one
+    ends = pairs.select(F.col("a").alias("v")).union(pairs.select(F.col("b").alias("v"))).groupBy("v").agg(F.count("*").alias("k"))
+    ends = scratch.keep(ends.filter("k > 1"), "ends")
+    often = [F.coalesce(k, F.lit(1)) for k in ("ka", "kb")]
+    pairs = pairs.join(ends.select(F.col("v").alias("a"), F.col("k").alias("ka")), "a", "left").join(ends.select(F.col("v").alias("b"), F.col("k").alias("kb")), "b", "left")
+    pairs = scratch.keep(pairs.select(F.when(often[0] >= often[1], F.col("a")).otherwise(F.col("b")).alias("a"), F.when(often[0] >= often[1], F.col("b")).otherwise(F.col("a")).alias("b")), "turned")
+    scratch.reclaim()
     a = sets.select(F.col("v").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("v").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(a, "a").join(b, "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("same"))
+    both = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", (F.size("sa") + F.size("sb")).alias("both"), F.size(F.array_intersect("sa", "sb")).alias("same"))
     return both.filter(F.lit(100) * F.col("same") >= F.lit(pct) * (F.col("both") - F.col("same"))).select("a", "b")
 
 
@@ -286,8 +300,9 @@ def _by_differences(crowded: DataFrame, labels: DataFrame, marks: DataFrame, set
     near = near.join(marks.hint("merge"), "v").join(p.hint("merge"), "pivot").filter(F.greatest(apart, F.abs(F.col("n") - F.col("n2"))) <= reach(F.col("n"))).select("main", "pivot", "v")
     near = scratch.keep(near, "near")
     whole = sets.of(near.select(F.col("pivot").alias("a"), F.col("v").alias("b")))
-    w = whole.select("v", "w", F.size("s").alias("n"))
-    likely = near.join(w.hint("merge"), "v").join(w.select(F.col("v").alias("pivot"), F.col("w").alias("w2")).hint("merge"), "pivot")
+    first = near.select("pivot").distinct().join(whole.select(F.col("v").alias("pivot"), F.col("s").alias("sp"), F.col("w").alias("w2")).hint("merge"), "pivot")
+    first = scratch.keep(first, "pivot-sets")  # far fewer than all sets
+    likely = near.join(whole.select("v", "w", F.size("s").alias("n")).hint("merge"), "v").join(first.select("pivot", "w2").hint("merge"), "pivot")
 
     def in_reach(batches):  # whole sets travel only for classes that wide marks do not refuse
         for x in batches:
@@ -295,7 +310,7 @@ def _by_differences(crowded: DataFrame, labels: DataFrame, marks: DataFrame, set
             yield x.select(["main", "pivot", "v"]).filter(pa.array(ok, pa.bool_()))
 
     near = scratch.keep(likely.select("main", "pivot", "v", "n", "w", "w2").mapInArrow(in_reach, "main long, pivot long, v long"), "in-reach")
-    both = near.join(whole.select("v", "s").hint("merge"), "v").join(whole.select(F.col("v").alias("pivot"), F.col("s").alias("sp")).hint("merge"), "pivot")
+    both = near.join(whole.select("v", "s").hint("merge"), "v").join(first.select("pivot", "sp").hint("merge"), "pivot")
 
     def differ(batches):
         for x in batches:
@@ -309,6 +324,7 @@ def _by_differences(crowded: DataFrame, labels: DataFrame, marks: DataFrame, set
     found = both.select("main", "pivot", "v", "s", "sp").mapInArrow(differ, "main long, pivot long, v long, n long, s array<long>")
     found = found.withColumn("m", F.size("s").cast("long")).withColumn("f", F.col("m") * up - F.col("n") * down).filter(F.col("m") <= reach(F.col("n")))
     found = scratch.keep(found, "differences")
+    scratch.drop(first)
     least = found.groupBy("pivot").agg(F.min_by(F.struct("f", "v"), F.struct("f", "v")).alias("l")).select("pivot", F.col("l.f").alias("f2"), F.col("l.v").alias("b"))
     star = found.select("pivot", "v", "f").join(least.hint("merge"), "pivot").filter("f + f2 <= 0 and v <> b").select(F.col("v").alias("a"), "b")
     labels = merge_labels(labels, scratch.keep(star, "star"), scratch)
@@ -318,6 +334,7 @@ def _by_differences(crowded: DataFrame, labels: DataFrame, marks: DataFrame, set
     back = Window.partitionBy("pivot", "v").orderBy(F.desc("df"), F.desc("u"))
     held = held.join(common.hint("merge"), ["pivot", "u"]).withColumn("rem", F.row_number().over(back).cast("long")).withColumn("step", F.floor(F.col("f") / (2 * up)))
     held = scratch.keep(held.drop("df", "m"), "held")
+    scratch.reclaim()
     enough = F.least("rem", "rem2") * (2 * up) >= F.col("f") + F.col("f2")
     for turn in ("hub", "rest"):  # first each shingle's class of least F, which merges most; then whatever is left
         here = held.join(labels.hint("merge"), "v")
@@ -404,6 +421,8 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, pct: int):
         if opened is None:
             opened = _open(seen, labels, scratch)
             scratch.drop(seen)
+        else:
+            scratch.reclaim()
         here, main = opened
         if here is None:
             return scratch, rows, classes, labels, sets
@@ -448,8 +467,9 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, k: int = 5, pct: in
 
 def _components(spark: SparkSession, docs: DataFrame, k: int, pct: int) -> DataFrame:
     """``jaccard_components`` with the hash ``t`` of every row's text."""
-    scratch, rows, classes, labels, _ = _joined(spark, docs, k, pct)
+    scratch, rows, classes, labels, sets = _joined(spark, docs, k, pct)
     named = scratch.keep(_named(classes, labels).select("hi", "lo", "component_id"), "named")
+    sets.close()
     out = rows.select("doc_id", "t", F.col("n").alias("n_shingles"), "hi", "lo").join(named, ["hi", "lo"], "left")
     return out.select("doc_id", "t", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
@@ -517,6 +537,7 @@ def jaccard_links(spark: SparkSession, docs: DataFrame, k: int = 5, pct: int = 8
     scratch, rows, classes, labels, sets = _joined(spark, docs, k, pct)
     links = _links_of(classes, labels, rows, sets, pct, scratch)
     named = scratch.keep(_named(classes, labels).join(links.hint("merge"), "v").select("hi", "lo", "component_id", "n_links"), "named")
+    sets.close()
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "hi", "lo").join(named, ["hi", "lo"], "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
