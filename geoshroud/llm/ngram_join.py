@@ -33,7 +33,7 @@ from .scratch import Scratch, fresh, small_batches
 MAX_FREQUENT = 1_000_000
 #: Ids of at most so many candidates are broadcast for the second scan; beyond that the scan is joined by shuffle.
 MAX_BROADCAST_IDS = 500_000
-#: A task counts so many shingles at once (8 bytes each, and a sorted copy).
+#: A task counts so many shingles at once (8 bytes each).
 COUNTED = 6_000_000
 #: A frequent shingle is in so many different texts, counted where a task sees it so many times.
 FREQUENT, LOCALLY = 8, 3
@@ -57,6 +57,13 @@ def _texts(batches, *columns):
         yield b, t, *[b.column(c) for c in columns]
 
 
+def _counted(tok: np.ndarray) -> list[pa.Array]:
+    """Values that ``tok`` has LOCALLY times or more, and how many times; ``tok`` is sorted in place."""
+    tok.sort()
+    often = np.unique(tok[LOCALLY - 1 :][tok[LOCALLY - 1 :] == tok[: len(tok) - LOCALLY + 1]])
+    return [pa.array(often), pa.array(np.searchsorted(tok, often, "right") - np.searchsorted(tok, often))]
+
+
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles of at least FREQUENT different texts, as far as tasks see them LOCALLY times: they are ordered last.
 
@@ -64,27 +71,22 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """
 
     def count(batches):
-        buf, n, known = [], 0, set()
-
-        def flush():
-            tok, c = np.unique(np.concatenate(buf), return_counts=True)
-            m = c >= LOCALLY
-            return pa.RecordBatch.from_arrays([pa.array(tok[m]), pa.array(c[m].astype(np.int64))], ["tok", "c"])
-
+        buf, n, known = np.empty(COUNTED, np.int64), 0, set()  # filled and sorted in place: a task holds it once
         for _, texts in _texts(batches):
             for t in texts:
                 copy = hash(t)
                 if t is None or copy in known:
                     continue
-                known.add(copy)
                 s = shingle_set(t, k)
-                buf.append(s)
-                n += len(s)
-            if n > COUNTED:
-                yield flush()
-                buf, n, known = [], 0, set()
+                if n + len(s) > COUNTED:
+                    yield pa.RecordBatch.from_arrays(_counted(buf[:n]), ["tok", "c"])
+                    n, known = 0, set()
+                known.add(copy)
+                if len(s) <= COUNTED:  # alone, a longer set has each shingle once
+                    buf[n : n + len(s)] = s
+                    n += len(s)
         if n:
-            yield flush()
+            yield pa.RecordBatch.from_arrays(_counted(buf[:n]), ["tok", "c"])
 
     rows = (
         docs.select("text").mapInArrow(count, "tok long, c long").groupBy("tok").agg(F.sum("c").alias("c"))
