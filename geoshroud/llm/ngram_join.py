@@ -17,6 +17,7 @@ Steps (all tables below are Parquet in the shared folder, so lost executors cost
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 
@@ -37,6 +38,8 @@ MAX_BROADCAST_IDS = 500_000
 COUNTED = 6_000_000
 #: A frequent shingle is in so many different texts, counted where a task sees it so many times.
 FREQUENT, LOCALLY = 8, 3
+#: Prefix shingles meet in so many passes, by hash; the shuffle files of one pass are deleted before the next.
+SLICES = 2
 STAR_ROUNDS = 4
 #: Lists with more rows than this outside their largest component are compared by differences from a pivot, in at most so many
 #: rounds; a class is near its pivot if it differs in at most this share of its shingles.
@@ -145,6 +148,7 @@ class _Sets:
         if self.known is not None:
             v = v.join(self.known.select("v"), "v", "left_anti")
         wanted = self.scratch.keep(v.join(self.ids, "v"), "wanted")
+        self.scratch.reclaim()  # sets are the largest rows: what led to the pairs goes first
         n = wanted.count()
         few = n <= MAX_BROADCAST_IDS
         k, here = self.k, self.docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
@@ -236,16 +240,17 @@ def _marks_allow(pct: int):
     return F.lit(100 + pct) * (F.col("n") + F.col("n2") - apart) >= F.lit(2 * pct) * (F.col("n") + F.col("n2"))
 
 
-def _collapsed(met: DataFrame, scratch: Scratch) -> DataFrame:
-    """``met`` with one row for all shingles that the same classes have, at the least position in each class.
+def _collapsed(parts: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """``parts`` with one row for all shingles that the same classes have, at the least position in each class.
 
     A passage gives many shingles with one posting list; they would make the same pairs again and again.  Lists are told
     apart by size and xor of their class keys: should two differ and agree in that, they only make pairs to be refused.
     """
+    met = functools.reduce(DataFrame.union, parts)
     lists = met.groupBy("tok").agg(F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("v"))).alias("list"))
     out = met.join(lists.hint("merge"), "tok").groupBy("list", "v").agg(F.first("n").alias("n"), F.min("p").alias("p"))
     out = scratch.keep(out.select("v", "n", "p", F.col("list").alias("tok")), "met")
-    scratch.drop(met)
+    scratch.drop(*parts)
     return out
 
 
@@ -376,14 +381,18 @@ def _joined(spark: SparkSession, docs: DataFrame, k: int, pct: int):
     scratch.drop(rows)
     rows = slim
     tokens = classes.select("v", "n", F.posexplode("prefix").alias("p", "tok"))
-    shared = tokens.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
-    shared = scratch.keep(shared, "shared")
-    scratch.reclaim()
-    met = scratch.keep(tokens.join(shared.hint("merge"), "tok"), "met-shingles")
+    parts = []
+    for i in range(SLICES):
+        some = tokens.filter(F.pmod("tok", F.lit(SLICES)) == i)
+        shared = some.groupBy("tok").agg(F.count("*").alias("c")).filter("c > 1").select("tok")
+        shared = scratch.keep(shared, "shared")
+        scratch.reclaim()
+        parts.append(scratch.keep(some.join(shared.hint("merge"), "tok"), "met-shingles"))
+        scratch.drop(shared)
     slim = scratch.keep(classes.withColumn("g", F.xxhash64("prefix", "n")).drop("prefix"), "slim-classes")
-    scratch.drop(classes, shared)  # prefixes are in met from here on
+    scratch.drop(classes)  # prefixes are in met from here on
     classes = slim
-    met = _collapsed(met, scratch)
+    met = _collapsed(parts, scratch)
     reps = classes.groupBy("g").agg(F.min("v").alias("rep"), F.count("*").alias("members")).filter("members > 1").select("g", "rep")
     members = scratch.keep(classes.select("g", "v").join(reps, "g").filter("v <> rep").select("v", "rep"), "members")
     labels = scratch.keep(met.select("v").distinct().withColumn("c", F.col("v")), "labels")
